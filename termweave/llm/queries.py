@@ -21,12 +21,24 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.voronoi_knn import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256.0, query_mod=50)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.sharding import byte_shards
 
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.permutation_index import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.minhash import near_duplicates
 
@@ -71,6 +83,38 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
 FROM cut
 """
 
+OP2_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score
+    FROM whole q JOIN whole d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+OP5_SQL = """
+WITH RECURSIVE whole AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM whole a JOIN whole b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(x, y) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), roots AS (
+    SELECT x, min(y) AS root FROM reach GROUP BY x
+), degree AS (
+    SELECT x, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, e.vec_id = root AS kept
+FROM embeddings e JOIN roots r ON e.vec_id = r.x LEFT JOIN degree d ON e.vec_id = d.x
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -101,4 +145,4 @@ FROM sets JOIN roots ON doc_id = x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": OP3_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL}
