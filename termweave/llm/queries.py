@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termweave.llm.common import table
 
@@ -39,6 +40,14 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.repeats import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.minhash import near_duplicates
 
@@ -115,6 +124,33 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, e.vec_
 FROM embeddings e JOIN roots r ON e.vec_id = r.x LEFT JOIN degree d ON e.vec_id = d.x
 """
 
+OP8_SQL = """
+WITH hexed AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+    SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 49))) AS i FROM hexed
+), windows AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM starts
+), marked AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first_doc FROM windows) WHERE first_doc < doc_id
+), gaps AS (
+    SELECT doc_id, i, i - lag(i, 1, i - 1000) OVER (PARTITION BY doc_id ORDER BY i) > 50 AS opens FROM marked
+), runs AS (
+    SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gaps
+), spans AS (
+    SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY ALL
+), pieces AS (
+    SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM spans
+), kept AS (
+    SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+        string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS front
+    FROM pieces JOIN hexed USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM hexed LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -145,4 +181,4 @@ FROM sets JOIN roots ON doc_id = x
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op9_minhash_near_dedup": OP9_SQL}
+    return {"op2_exact_top_k": OP2_SQL, "op3_sharding": OP3_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_suffix_array_dedup": OP8_SQL, "op9_minhash_near_dedup": OP9_SQL}
