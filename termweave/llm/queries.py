@@ -34,6 +34,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.permutation_index import embedding_near_duplicates
 
