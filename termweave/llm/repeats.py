@@ -276,7 +276,7 @@ def _build(length: int):
     return run
 
 
-def _finish(length: int, buckets: int):
+def _finish(length: int, buckets: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -312,15 +312,17 @@ def _finish(length: int, buckets: int):
                     else:
                         spans.append([])
                         kept.append(data[a:b])
-                out = [*rows.columns[:-1], pa.array(np.diff(offs)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())]
+                out = [*rows.columns[:-1], pa.array(np.diff(offs)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, [*rows.schema.names[:-1], "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """The ``keep`` columns (default: the id) of every row, n_bytes, spans (removed, [start, stop) bytes) and kept (bytes).
 
+    With ``as_text`` kept is a string; what is left of a character that was cut in part goes too.
+
     Removed is each byte covered by a ``length``-byte string that also starts in a document with a
     smaller id; strings are judged on the input and never cross documents.  A null text is empty, a
     text shorter than ``length`` stays whole, rows with one id don't affect each other, rows with a
@@ -346,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     built = cut(built.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "built")
 
     fields = whole.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary")
     done = blocks.join(shared, "block", "left").join(built, "block", "left").select("payload", "shared", "answers")
-    done = done.mapInArrow(_finish(length, buckets), schema)
+    done = done.mapInArrow(_finish(length, buckets, as_text), schema)
     return done.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")
