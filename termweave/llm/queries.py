@@ -46,6 +46,15 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from termweave.llm.sentencepiece import decode, encode
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    coded = encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"])
+    back = decode(coded, model, keep=["doc_id", "text", "n_ids", "ids"])
+    return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from termweave.llm.license_scan import scan_licenses
 

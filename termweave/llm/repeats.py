@@ -14,7 +14,6 @@ repeat; those are told apart by their hashes before any text is sent.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
 from termweave.llm.column_bwt import window_minima
 from termweave.llm.common import byte_buffers, cut, partitions
 from termweave.llm.shingles import mix
@@ -34,48 +34,6 @@ COLLECTION = 1 << 20  # symbols built at once, but for the strings of one minimi
 NOBODY = np.iinfo(np.int64).max
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue()
-
-
-def _unpacked(blob: bytes) -> pa.RecordBatch:
-    with pa.ipc.open_stream(blob) as source:
-        return source.read_next_batch()
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, size, payload); the text is the last column, the id the first."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    held: list[pa.RecordBatch] = []
-    size = made = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal size, made
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        row = pa.RecordBatch.from_arrays([pa.array([(part << 32) + made]), pa.array([size]), pa.array([_packed(whole)], pa.binary())], ["block", "size", "payload"])
-        held.clear()
-        size, made = 0, made + 1
-        return row
-
-    for batch in batches:
-        flat, offs = byte_buffers(batch.column(batch.num_columns - 1))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + BLOCK - size, "right")) - 1)
-            held.append(batch.slice(lo, hi - lo))
-            size += int(offs[hi] - offs[lo])
-            lo = hi
-            if size >= BLOCK or lo < batch.num_rows:
-                yield flush()
-    if held:
-        yield flush()
-
-
 class Runs:
     """Maximal runs of consecutive windows with one minimizer: first byte, windows, minimizer, document (row)."""
 
@@ -133,7 +91,7 @@ def _block_rows(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = _unpacked(blob.as_py())
+                rows = unpacked(blob.as_py())
                 runs = Runs(*byte_buffers(rows.column(rows.num_columns - 1)), length)
                 order = np.lexsort((runs.doc, runs.value))
                 value, doc = runs.value[order], runs.doc[order]
@@ -200,7 +158,7 @@ def _send(length: int, buckets: int):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, blob, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                rows = _unpacked(blob.as_py())
+                rows = unpacked(blob.as_py())
                 _, _, runs, which, strings, value, bucket, by = _candidates(rows, shared or [], length, buckets)
                 if not len(strings):
                     continue
@@ -283,7 +241,7 @@ def _finish(length: int, buckets: int, as_text: bool):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             for blob, shared, answers in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows = _unpacked(blob.as_py())
+                rows = unpacked(blob.as_py())
                 flat, offs, runs, which, strings, _, bucket, by = _candidates(rows, shared or [], length, buckets)
                 hit = np.zeros(len(flat) + 1, np.int32)
                 if len(strings):
@@ -333,7 +291,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     keep = [id_col] if keep is None else keep
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    blocks = cut(whole.mapInArrow(_blocks, "block long, size long, payload binary"), "blocks")
+    blocks = cut(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "blocks")
     total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))
     n = partitions(spark)
