@@ -1 +1 @@
-
+"""Readers, writers and the artifact store."""
