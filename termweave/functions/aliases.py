@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from termweave.functions.text import collapse_ends, collapse_spaces
 
@@ -119,7 +120,7 @@ def similarity(left: str, right: str, words) -> float:
     return 0.5 * len(a & b) / max(1, len(a | b)) + 0.5 * SequenceMatcher(None, left, right).ratio()
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def alias_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity of alias keys; not symmetric in rare cases, as the ratio isn't."""
     import re

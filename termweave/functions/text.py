@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Quotation marks and what they become.
 SINGLE_QUOTES = "‘’‚‛′´`"
@@ -23,12 +24,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
@@ -65,13 +66,15 @@ def word_tokens(c: Column | str) -> Column:
 
 def char_ngrams(c: Column | str, least: int, most: int) -> Column:
     """All character n-grams with least <= n <= most after runs of white space become one space."""
-    text = F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACES, " ")
-    size = F.length(text)
-    of = [
-        F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in range(least, most + 1)
-    ]
-    return F.concat(*of)
+    spaced = F.regexp_replace(F.coalesce(_col(c), F.lit("")), SPACES, " ")
+
+    def of(text: Column, n: int) -> Column:
+        size = F.length(text)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(size >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a lambda's variable the text is made once, not once for each n-gram.
+    return F.element_at(F.transform(F.array(spaced), lambda t: F.concat(*[of(t, n) for n in range(least, most + 1)])), 1)
 
 
 def language_code(c: Column | str, blank: str | None = None) -> Column:

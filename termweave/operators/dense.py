@@ -57,7 +57,7 @@ def dense_top_k(queries: DataFrame, items: DataFrame, k: int, skip_self: bool =
     q = queries.join(F.broadcast(grid), "type").withColumn("qb", F.pmod(F.xxhash64("query_id"), "nq")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
     i = items.join(F.broadcast(grid), "type").withColumn("ib", F.pmod(F.xxhash64("item_id"), "ni").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq").cast("long") - 1)))
     left = q.select("type", F.col("qb").cast("long").alias("qb"), "ib", "query_id", "v")
-    right = i.select("type", "qb", "ib", "item_id", "v")
+    right = i.select(*[F.col(c).alias(c) for c in ("type", "qb", "ib", "item_id", "v")])  # new columns: both sides may come from one table
     keys = ["type", "qb", "ib"]
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     best = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(_block_top(k, skip_self), "type string, query_id long, item_id long, score double")

@@ -16,7 +16,7 @@ def ranking_metrics(predictions: DataFrame, gold: DataFrame, by: list[str] | Non
     """
     by = by or []
     truth = gold.groupBy("query_id", *by).agg(F.max("gold").alias("gold"))
-    hits = truth.join(predictions, "query_id", "left").groupBy(*by, "query_id").agg(F.min(F.when(F.col("prediction") == F.col("gold"), F.col("rank"))).alias("at"), F.max("rank").alias("deep"))
+    hits = truth.join(predictions.select("query_id", "rank", "prediction"), "query_id", "left").groupBy(*by, "query_id").agg(F.min(F.when(F.col("prediction") == F.col("gold"), F.col("rank"))).alias("at"), F.max("rank").alias("deep"))
     measures = [F.round(F.when(F.max("deep") >= k, F.avg(F.when(F.col("at") <= k, 1.0).otherwise(0.0))), 6).alias(f"acc_{k}") for k in cutoffs]
     return hits.groupBy(*by).agg(F.count("*").alias("n_queries"), *measures, F.round(F.avg(F.coalesce(1.0 / F.col("at"), F.lit(0.0))), 6).alias("mrr"))
 

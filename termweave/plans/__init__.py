@@ -1 +1 @@
-
+"""Registered queries: operators applied to the test tables, with equivalent SQL."""
