@@ -81,8 +81,8 @@ def laid_out(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return symbols, first, first + np.maximum(0, (np.maximum(size, 1) - 1) // STRIDE)
 
 
-def fit(chunks: list[bytes], owner: np.ndarray, labels: np.ndarray, epochs: int = 12, batch: int = 64, seed: int = 7) -> ByteConvNet:
-    """Adam on the log loss; ``owner`` says which document (index into ``labels``) a chunk belongs to.
+def fit(chunks: list[bytes], owner: np.ndarray, labels: np.ndarray, steps: int = 450, batch: int = 64, seed: int = 7) -> ByteConvNet:
+    """Adam on the log loss for a number of steps; ``owner`` says which document (index into ``labels``) a chunk belongs to.
 
     With no rows, or with one label only, the network is constant at the smoothed share of label 1.
     """
@@ -110,11 +110,10 @@ def fit(chunks: list[bytes], owner: np.ndarray, labels: np.ndarray, epochs: int
     of_doc = [np.flatnonzero(owner == d) for d in range(n)]
     state: dict[str, tuple] = {}
     step = 0
-    for epoch in range(epochs):
-        rate = 0.01 * (1 - epoch / epochs) + 0.0005
+    while step < steps:
+        shuffled = rng.permutation(n)
         for at in range(0, n, batch):
-            if at == 0:
-                shuffled = rng.permutation(n)
+            rate = 0.01 * max(0.0, 1 - step / steps) + 0.0005
             docs = [d for d in shuffled[at : at + batch] if len(of_doc[d])]
             if not docs:
                 continue
