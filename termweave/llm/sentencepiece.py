@@ -21,7 +21,7 @@ from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
 from termweave.llm.common import cut, partitions
 from termweave.llm.piece_model import BPE, BYTE, SPACE, PieceModel
 
-BLOCK = 64 << 20  # bytes of text of a block
+BLOCK = 32 << 20  # bytes of text of a block
 WIDE = 60  # longer units don't fit the fold's bit mask and are encoded one by one
 UNKNOWN_PENALTY = 10.0
 
