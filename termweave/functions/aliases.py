@@ -26,25 +26,44 @@ KINDS = ("abbreviations", "short_names", "multi_word", "long_variants")
 GROUP_LIMITS = {"abbreviations": 2, "short_names": 2, "multi_word": 3, "long_variants": 1}
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often body names it: long rules stay linear in size."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def sanitize_alias(c: Column) -> Column:
     """The cleaned alias, or the empty text where it is to be rejected."""
-    first = collapse_ends(F.coalesce(c, F.lit("")))
-    low = F.lower(first)
-    noisy = low.contains(NOISE[0]) | low.contains(NOISE[1]) | (low.contains("|") & low.rlike("|".join(PIPE_DOMAINS)))
-    out = collapse_spaces(F.regexp_replace(first, SUFFIXES, ""))
-    out = collapse_ends(F.regexp_replace(out, PARENTHESES, ""))
-    for pattern in LEADS:
-        out = collapse_ends(F.regexp_replace(out, pattern, ""))
-    for pattern in TAILS:
-        out = F.when(out.rlike(r"(?U)\S\s+\S"), collapse_ends(F.regexp_replace(out, pattern, ""))).otherwise(out)
-    out = F.regexp_replace(out, r"(?U)\s*,\s*", ", ")
-    out = F.regexp_replace(out, r"(?U)\s*-\s*", "-")
-    out = F.regexp_replace(out, r"\.{2,}", ".")
-    out = F.regexp_replace(out, r"^[ ,;:]+|[ ,;:]+$", "")
-    low = F.lower(out)
-    coded = out.rlike(r"(?U)\b[a-z0-9_]+\.[a-z0-9_.]+\b") & ~low.contains(" mg/") & ~low.contains(" ml/")
-    bare = (F.length(out) <= 3) & ~has_cyrillic(out) & ~out.rlike("[A-Za-z]{2,}")
-    return F.when(noisy | low.rlike(REJECTED) | coded | bare, "").otherwise(collapse_ends(out))
+
+    def noisy(text: Column) -> Column:
+        low = F.lower(text)
+        return low.contains(NOISE[0]) | low.contains(NOISE[1]) | (low.contains("|") & low.rlike("|".join(PIPE_DOMAINS)))
+
+    def stripped(text: Column) -> Column:
+        out = collapse_spaces(F.regexp_replace(text, SUFFIXES, ""))
+        for pattern in (PARENTHESES, *LEADS):
+            out = collapse_ends(F.regexp_replace(out, pattern, ""))
+        return out
+
+    def without_tail(pattern: str):
+        return lambda t: F.when(t.rlike(r"(?U)\S\s+\S"), collapse_ends(F.regexp_replace(t, pattern, ""))).otherwise(t)
+
+    def punctuated(text: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(text, r"(?U)\s*,\s*", ", "), r"(?U)\s*-\s*", "-")
+        return F.regexp_replace(F.regexp_replace(out, r"\.{2,}", "."), r"^[ ,;:]+|[ ,;:]+$", "")
+
+    def judged(out: Column) -> Column:
+        low = F.lower(out)
+        coded = out.rlike(r"(?U)\b[a-z0-9_]+\.[a-z0-9_.]+\b") & ~low.contains(" mg/") & ~low.contains(" ml/")
+        bare = (F.length(out) <= 3) & ~has_cyrillic(out) & ~out.rlike("[A-Za-z]{2,}")
+        return F.when(low.rlike(REJECTED) | coded | bare, "").otherwise(collapse_ends(out))
+
+    def cleaned(text: Column) -> Column:
+        out = stripped(text)
+        for pattern in TAILS:
+            out = bound(out, without_tail(pattern))
+        return bound(punctuated(out), judged)
+
+    return bound(collapse_ends(F.coalesce(c, F.lit(""))), lambda t: F.when(noisy(t), "").otherwise(cleaned(t)))
 
 
 def has_cyrillic(c: Column) -> Column:
@@ -63,17 +82,22 @@ def is_all_caps(c: Column) -> Column:
 
 def is_abbreviation(c: Column) -> Column:
     """Short aliases that behave like abbreviations; any single token of six characters or fewer is one."""
-    text = collapse_ends(F.coalesce(c, F.lit("")))
-    compact = F.regexp_replace(text, r"(?U)[\s./_-]+", "")
-    tokens = F.filter(F.split(text, r"(?U)[\s/,_-]+"), lambda t: t != "")
-    letters = F.regexp_replace(compact, r"\P{L}", "")
-    vowels = F.length(letters) - F.length(F.regexp_replace(F.lower(letters), f"[{VOWELS}]", ""))
-    widest = F.array_max(F.transform(tokens, lambda t: F.length(t)))
-    few = vowels <= F.greatest(F.lit(1), F.floor(F.length(letters) / 5))
-    one = (F.size(tokens) == 1) & (F.length(compact) <= 6)
-    digits = (F.size(tokens) <= 2) & (F.length(compact) <= 8) & compact.rlike(r"(?U)\d")
-    consonants = (F.size(tokens) <= 2) & (F.length(compact) <= 10) & (F.length(letters) > 0) & ((widest <= 5) | few)
-    return (F.length(compact) > 0) & (F.size(tokens) > 0) & (one | digits | consonants)
+
+    def parts(text: Column) -> Column:
+        compact = F.regexp_replace(text, r"(?U)[\s./_-]+", "")
+        tokens = F.filter(F.split(text, r"(?U)[\s/,_-]+"), lambda t: t != "")
+        return F.struct(compact.alias("compact"), tokens.alias("tokens"), F.regexp_replace(compact, r"\P{L}", "").alias("letters"))
+
+    def judged(p: Column) -> Column:
+        size, n, letters = F.length(p["compact"]), F.size(p["tokens"]), F.length(p["letters"])
+        vowels = letters - F.length(F.regexp_replace(F.lower(p["letters"]), f"[{VOWELS}]", ""))
+        widest = F.array_max(F.transform(p["tokens"], lambda t: F.length(t)))
+        few = vowels <= F.greatest(F.lit(1), F.floor(letters / 5))
+        one = (n == 1) & (size <= 6)
+        digits = (n <= 2) & (size <= 8) & p["compact"].rlike(r"(?U)\d")
+        return (size > 0) & (n > 0) & (one | digits | ((n <= 2) & (size <= 10) & (letters > 0) & ((widest <= 5) | few)))
+
+    return bound(bound(collapse_ends(F.coalesce(c, F.lit(""))), parts), judged)
 
 
 def alias_kind(c: Column) -> Column:
