@@ -4,7 +4,8 @@ Documents with equal shingle sets form one class, so copies never meet in pairs.
 a band bucket are compared with the bucket's centre first (the class that meets most others), then,
 where a bucket still spans several components, the classes outside its largest component are compared
 with those of other components.  Every pair of a bucket that could join two components is therefore
-compared, and no bucket is expanded into all its pairs.
+compared, and no bucket is expanded into all its pairs.  Before, sets that have too many shingles of
+their own to reach the threshold with any other leave, and pairs that can't reach it are not built.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from termweave.llm.components import connected_components
 from termweave.llm.shingles import mix, shingle_sets
 
 ROWS = 5  # minima per band
+BINS = 128  # of a set's histogram; two sets share at most the sum of the lesser counts
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -82,7 +84,8 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for _, _, *part in slices(*byte_buffers(batch.column(1))) for s in shingle_sets(*part, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "shingles"])
+            bins = [np.bincount(s & (BINS - 1), minlength=BINS).astype(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], ["doc", "shingles", "bins"])
 
     return run
 
@@ -117,10 +120,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
 
     spread = reps.select("doc", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(spread.join(crowded, "bucket").select("bucket", "doc", "size"), "buckets")
+    shared = cut(spread.join(crowded, "bucket").select("bucket", "doc"), "shared")
+    sharing = shared.select("doc").distinct()
+    sets = cut(texts.join(sharing, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<long>, bins array<int>").dropDuplicates(["doc", "shingles"]), "sets")
+    # A shingle that no other of these sets has is in no intersection: what a set can share is bounded by the rest.
+    single = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
+    own = single.groupBy("doc").agg(F.count("*").alias("own"))
+    able = reps.join(sharing, "doc").join(own, "doc", "left").select("doc", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")).where(F.col("m") * den >= F.col("n") * num)
+    able = cut(able, "able")
+    # An id with several texts has no histogram of its own and is compared whenever its sizes allow it.
+    bins = sets.groupBy("doc").agg(F.when(F.count("*") == 1, F.first("bins")).alias("bins"))
+    left = shared.join(able.groupBy("doc").agg(F.max("n").alias("n"), F.max("m").alias("m")), "doc").join(bins, "doc")
+    crowded = left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = cut(left.join(crowded, "bucket").select("bucket", "doc", "n", "m", "bins", "size"), "buckets")
     meets = buckets.groupBy("doc").agg(F.sum("size").alias("meets"))
-    sigs = cut(reps.join(meets, "doc").select("doc", "n", "sig", "meets"), "sigs")
-    sets = cut(texts.join(meets.select("doc"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<long>").dropDuplicates(["doc", "shingles"]), "sets")
+    sigs = able.select("doc", "n", "sig")
+
+    def possible(n_x, m_x, b_x, n_y, m_y, b_y):
+        enough = lambda most: most * den >= (F.col(n_x) + F.col(n_y) - most) * num
+        most = F.aggregate(F.zip_with(b_x, b_y, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, b: a + b)
+        return enough(F.least(m_x, m_y)) & (F.col(b_x).isNull() | F.col(b_y).isNull() | enough(most))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those whose signatures, then full sets, are similar enough."""
@@ -134,20 +153,23 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
         return near.where(both * den >= (F.size("s_a") + F.size("s_b") - both) * num).select("a", "b").distinct()
 
-    ranked = buckets.join(sigs.select("doc", "meets"), "doc")
-    centres = ranked.groupBy("bucket").agg(F.max_by("doc", F.struct("meets", -F.col("doc"))).alias("centre"))
-    tested = cut(buckets.join(centres, "bucket").where("doc <> centre").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct(), "tested")
+    ranked = buckets.join(meets, "doc")
+    centre = F.max_by(F.struct("doc", "n", "m", "bins"), F.struct("meets", -F.col("doc")))
+    centres = ranked.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.doc").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.m").alias("m_c"), F.col("c.bins").alias("b_c"))
+    met = buckets.join(centres, "bucket").where((F.col("doc") != F.col("centre")) & possible("n", "m", "bins", "n_c", "m_c", "b_c"))
+    tested = cut(met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct(), "tested")
     links = cut(confirmed(tested).unionAll(ties), "near")
     found = connected_components(links, "a", "b")
 
     # Buckets that still span several components: what lies outside the largest one is compared with all else.
-    placed = buckets.where("size > 2").join(found, buckets["doc"] == found["node"], "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = buckets.where("size > 2").join(found, buckets["doc"] == found["node"], "left").select("bucket", "doc", "n", "m", "bins", F.coalesce("component", "doc").alias("component"))
     placed = cut(placed, "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = placed.join(main, "bucket")
-    rest = open_.where("component <> main").select("bucket", F.col("doc").alias("x"), F.col("component").alias("of_x"))
-    pairs = rest.join(open_.select("bucket", F.col("doc").alias("y"), F.col("component").alias("of_y")), "bucket").where("of_x <> of_y")
+    rest = open_.where("component <> main").select("bucket", F.col("doc").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"), F.col("bins").alias("b_x"))
+    others = open_.select("bucket", F.col("doc").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("m").alias("m_y"), F.col("bins").alias("b_y"))
+    pairs = rest.join(others, (rest["bucket"] == others["bucket"]) & (F.col("of_x") != F.col("of_y")) & possible("n_x", "m_x", "b_x", "n_y", "m_y", "b_y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = cut(confirmed(pairs).unionAll(links), "near")
     final = connected_components(more, "a", "b")
@@ -160,5 +182,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         F.coalesce("root", "doc").alias("component_id"),
         F.coalesce(F.col("doc") == F.coalesce("root", "doc"), F.lit(False)).alias("kept"),
     )
-    drop_cut(buckets, sigs, sets, tested, links, placed, more)
+    drop_cut(shared, able, buckets, sets, tested, links, placed, more)
     return out
