@@ -125,6 +125,11 @@ def _encode_long(model: PieceModel):
     return run
 
 
+def _once(value, body):
+    """body(value) with the value computed once: an expression named within a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def _byte_ids(model: PieceModel, char):
     """Ids of a character that is no piece."""
     if not model.bytes_ids:
@@ -156,9 +161,11 @@ def _best_path(edges, n):
         best = F.array_max(paths)
         return F.concat(state, F.array(F.struct(best["score"].alias("score"), (-best["order"]).alias("s"))))
 
-    path = F.aggregate(F.sequence(F.lit(1), n), start, step)
-    back = lambda done, _: F.when(F.element_at(done, -1) == 0, done).otherwise(F.concat(done, F.array(F.element_at(path, F.element_at(done, -1) + 1)["s"])))
-    return F.reverse(F.aggregate(F.sequence(F.lit(1), n), F.array(n), back))
+    def traced(path):
+        back = lambda done, _: F.when(F.element_at(done, -1) == 0, done).otherwise(F.concat(done, F.array(F.element_at(path, F.element_at(done, -1) + 1)["s"])))
+        return F.reverse(F.aggregate(F.sequence(F.lit(1), n), F.array(n), back))
+
+    return _once(F.aggregate(F.sequence(F.lit(1), n), start, step), traced)
 
 
 def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
@@ -186,18 +193,28 @@ def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
         (bit(e) - bit(s + 1)).alias("inner"),
     )
     grouped = found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("unit"))
+
+    def bounds_of(mask):
+        return F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(one) == 1)
+
     if model.kind == BPE:
-        grouped = grouped.withColumn("wide", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
-        grouped = grouped.withColumn("mask", F.when(F.size("wide") == 0, F.lit(-1).cast("long")).otherwise(_merged(F.col("wide"), F.col("n"))))
-        bounds = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", F.col("mask"), i).bitwiseAND(one) == 1)
+        wide = F.filter("edges", lambda x: x["e"] - x["s"] > 1)
+        mask = _once(wide, lambda w: F.when(F.size(w) == 0, F.lit(-1).cast("long")).otherwise(_merged(w, F.col("n"))))
+        bounds = _once(mask, bounds_of)
     else:
         bounds = _best_path(F.col("edges"), F.col("n"))
-    grouped = grouped.withColumn("b", bounds)
     known = F.filter("edges", lambda x: x["id"].isNotNull())
-    grouped = grouped.withColumn("ids_by_span", F.map_from_arrays(F.transform(known, lambda x: x["s"] * 64 + x["e"]), F.transform(known, lambda x: x["id"])))
-    spans = F.zip_with(F.slice("b", 1, F.size("b") - 1), F.slice("b", 2, F.size("b") - 1), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-    of_span = lambda x: F.element_at("ids_by_span", x["i"] * 64 + x["j"])
-    ids = F.flatten(F.transform(spans, lambda x: F.when(of_span(x).isNull(), _byte_ids(model, F.substring("unit", x["i"] + 1, x["j"] - x["i"]))).otherwise(F.array(of_span(x)))))
+    by_span = _once(known, lambda k: F.map_from_arrays(F.transform(k, lambda x: x["s"] * 64 + x["e"]), F.transform(k, lambda x: x["id"])))
+
+    def ids_of(b, found):
+        def of_span(x):
+            bytes_ = _byte_ids(model, F.substring("unit", x["i"] + 1, x["j"] - x["i"]))
+            return _once(F.element_at(found, x["i"] * 64 + x["j"]), lambda v: F.when(v.isNull(), bytes_).otherwise(F.array(v)))
+
+        spans = F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
+        return F.flatten(F.transform(spans, of_span))
+
+    ids = _once(bounds, lambda b: _once(by_span, lambda found: ids_of(b, found)))
     done = grouped.select("unit", ids.alias("ids"))
     long = units.where(F.length("unit") > WIDE).mapInArrow(_encode_long(model), "unit string, ids array<int>")
     return done.unionAll(long)
