@@ -30,10 +30,31 @@ SEED = 24  # bytes of a minimizer's substring
 RUN = 40  # windows of one string at most
 BLOCK = 4 << 20  # bytes of text of a block, but for a longer document
 BUCKET = 16 << 20  # bytes of text per bucket of minimizers
-COLLECTION = 1 << 20  # symbols built at once, but for the strings of one minimizer
+COLLECTION = 1 << 18  # symbols built at once, but for the strings of one minimizer
+SLICE = 1 << 19  # windows hashed at once
 NOBODY = np.iinfo(np.int64).max
 
 
+def _minimizers(flat: np.ndarray, span: int) -> np.ndarray:
+    """The least hash of ``span`` consecutive substrings of SEED bytes, for each place with room for them."""
+    seeds = len(flat) - SEED + 1
+    words = np.ndarray((len(flat) - 7,), "<u8", flat, 0, (1,))
+    with np.errstate(over="ignore"):
+        h = words[:seeds] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += words[8 : seeds + 8]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h += words[16 : seeds + 16]
+        h = mix(h * np.uint64(0x94D049BB133111EB))
+    have = 1
+    while have < span:
+        step = min(have, span - have)
+        h = np.minimum(h[: len(h) - step], h[step:])
+        have += step
+    return h
+
+
 class Runs:
     """Maximal runs of consecutive windows with one minimizer: first byte, windows, minimizer, document (row)."""
 
@@ -44,23 +65,12 @@ class Runs:
         self.start, self.count, self.value, self.doc = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
         if windows <= 0:
             return
-        words = np.ndarray((n - 7,), "<u8", np.ascontiguousarray(flat), 0, (1,))
-        seeds = n - SEED + 1
-        with np.errstate(over="ignore"):
-            h = words[:seeds] * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h += words[8 : seeds + 8]
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-            h += words[16 : seeds + 16]
-            h = mix(h * np.uint64(0x94D049BB133111EB))
-        have = 1
-        while have < span:
-            step = min(have, span - have)
-            h = np.minimum(h[: len(h) - step], h[step:])
-            have += step
+        h = np.empty(windows, np.uint64)
+        flat = np.ascontiguousarray(flat)
+        for at in range(0, windows, SLICE):
+            h[at : at + SLICE] = _minimizers(flat[at : at + SLICE + length - 1], span)
         # Windows may not leave their document.
-        doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[:windows]
+        doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))[:windows]
         inside = np.arange(windows) + length <= offs[doc + 1]
         change = np.ones(windows, bool)
         change[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
@@ -74,7 +84,7 @@ class Runs:
             whole = np.repeat(count, parts)
             start = np.repeat(start, parts) + k * RUN
             count = np.minimum(RUN, whole - k * RUN)
-        self.start, self.count, self.value, self.doc = start, count, h[start], doc[start]
+        self.start, self.count, self.value, self.doc = start, count, h[start], doc[start].astype(np.int64)
 
     def only(self, keep: np.ndarray) -> None:
         self.start, self.count, self.value, self.doc = self.start[keep], self.count[keep], self.value[keep], self.doc[keep]
@@ -203,13 +213,16 @@ def _build(length: int):
         value = np.zeros(len(strings), np.uint64)
         value[which] = np.concatenate(values)
         size = np.array([len(s) for s in strings])
-        order = np.argsort(value, kind="stable")
-        # Collections of whole minimizer groups; equal windows never lie in two of them.
-        heads = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
-        volume = np.cumsum(size[order])
         windows = np.zeros(len(strings) + 1, np.int64)
         windows[1:] = np.cumsum(size - length + 1)
-        least = np.empty(windows[-1], np.int64)
+        # A string that is alone with its minimizer shares its windows with no other.
+        least = np.repeat(owner, size - length + 1)
+        _, group, members = np.unique(value, return_inverse=True, return_counts=True)
+        order = np.argsort(group, kind="stable")
+        order = order[members[group[order]] > 1]
+        # Collections of whole minimizer groups; equal windows never lie in two of them.
+        heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else order
+        volume = np.cumsum(size[order])
         lo = 0
         while lo < len(order):
             goal = (volume[lo - 1] if lo else 0) + COLLECTION
