@@ -1,10 +1,10 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 Each vector is described by its nearest reference vectors in order (the head of its permutation) and
-posted in the list of each of them.  Within a list, pairs that share enough reference vectors are
-candidates and are verified by cosine.  Lists are cut in blocks, so that a list of any length is
-compared block by block in many tasks; a block pair returns link counts and a spanning forest of its
-links, never the links themselves.
+posted in the list of each of them.  All pairs of a list are compared by cosine.  Reference vectors
+are kept apart, so that a dense group holds one and its vectors meet in that list, however large the
+group is.  Lists are cut in blocks, so that a list of any length is compared block by block in many
+tasks; a block pair returns link counts and a spanning forest of its links, never the links themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from termweave.llm.components import connected_components
 from termweave.llm.vectors import blobs, from_blobs, matrix, reference_vectors, usable
 
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 128, 64, 4096
-HEAD, SHARED, BLOCK = 8, 2, 512
+HEAD, BLOCK, TILE = 8, 4096, 512
+#: Reference vectors of a greater cosine aren't used together, and as many rows a reference vector are looked at.
+APART, TRIED = 0.75, 2
 
 
 def pivot_count(n: int) -> int:
@@ -29,16 +31,40 @@ def pivot_count(n: int) -> int:
     return int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // PER_PIVOT)))
 
 
-def _heads(pivots: np.ndarray, head: int):
+def spread(rows: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
+    """At most ``most`` of the rows, as unit vectors: in their order, each that has no cosine above ``apart`` to one taken before."""
+    unit = rows / np.abs(rows).max(1)[:, None]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    free = np.ones(len(unit), bool)
+    taken: list[int] = []
+    for i in range(len(unit)):
+        if free[i]:
+            taken.append(i)
+            if len(taken) == most:
+                break
+            free[i:] &= unit[i:] @ unit[i] <= apart
+    return unit[taken]
+
+
+def _heads(pivots: np.ndarray, head: int, least: float):
+    """The nearest reference vectors of each vector, as far as a linked vector can have its nearest one there.
+
+    The nearest reference vector of a linked vector is at most twice the link angle farther than the own
+    nearest one.  Places of those farther off hold the nearest one again.
+    """
+    reach = 2 * np.arccos(np.clip(least, -1, 1)) + 1e-6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = pivots / np.linalg.norm(pivots, axis=1)[:, None]
         for batch in batches:
             v = matrix(batch.column(1))
             if not len(v):
                 continue
             v = v / np.abs(v).max(1)[:, None]  # the scale doesn't matter, and squares can't overflow
             v /= np.linalg.norm(v, axis=1)[:, None]
-            order = np.argsort(-(v @ unit.T), axis=1, kind="stable")[:, :head].astype(np.int32)
+            near = v @ pivots.T
+            order = np.argsort(-near, axis=1, kind="stable")[:, :head].astype(np.int32)
+            angle = np.arccos(np.clip(np.take_along_axis(near, order, 1), -1, 1))
+            order = np.where(angle <= angle[:, :1] + reach, order, order[:, :1])
             flat, offs = pa.array(order.ravel()), pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offs, flat), blobs(v)], ["rep", "weight", "head", "unit"])
 
@@ -63,7 +89,7 @@ def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return ids[touched], ids[root[low[touched]]]
 
 
-def _compare(least: float, shared: int):
+def _compare(least: float, tile: int = TILE):
     """Counts and forest of the links of one block pair; rows: pivot, left, right, block, rep, weight, head, unit."""
 
     def run(key, pdf):
@@ -74,41 +100,58 @@ def _compare(least: float, shared: int):
         heads = np.stack(pdf["head"].to_numpy())
         unit = from_blobs(pdf["unit"])
         block = pdf["block"].to_numpy()
-        near = np.empty((0, 2), np.int64)
-        if left == right:
-            i, j = np.nonzero(np.triu(_candidates(heads, heads, pivot, shared), 1))
-            near = np.stack([i, j], 1)
-        else:
-            x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
-            if len(x) and len(y):
-                i, j = np.nonzero(_candidates(heads[x], heads[y], pivot, shared))
-                near = np.stack([x[i], y[j]], 1)
-        if len(near):
-            near = near[np.concatenate([np.einsum("ij,ij->i", unit[p[:, 0]], unit[p[:, 1]]) for p in np.array_split(near, -(-len(near) // 65536))]) >= least]
-        if not len(near):
+        links = np.zeros(len(ids), np.int64)
+        edges = [np.empty((2, 0), np.int64)]
+        xs, ys = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        for at in range(0, len(xs), tile):
+            x = xs[at : at + tile]
+            for to in range(at if left == right else 0, len(ys), tile):
+                y = ys[to : to + tile]
+                hit = unit[x] @ unit[y].T >= least
+                if left == right and at == to:
+                    hit = np.triu(hit, 1)
+                if not hit.any():
+                    continue
+                hit &= _first_here(heads[x], heads[y], pivot)
+                links[x] += hit @ weight[y]
+                links[y] += weight[x] @ hit
+                i, j = _spanning(hit)
+                edges.append(np.stack([x[i], y[j]]))
+        a, b = np.concatenate(edges, 1)
+        if not len(a):
             return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        a, b = near.T
-        links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
         who, root = _forest(ids, a, b)
-        at = np.unique(near)
-        return pd.DataFrame({"rep": who, "links": links[at].astype(np.int64), "root": root})
+        return pd.DataFrame({"rep": who, "links": links[np.unique([a, b])], "root": root})
 
     return run
 
 
-def _candidates(x: np.ndarray, y: np.ndarray, pivot: int, shared: int) -> np.ndarray:
-    """Pairs of rows with enough shared reference vectors, the smallest of which is ``pivot``: each pair in one list only."""
-    names, col = np.unique(np.concatenate([x, y]), return_inverse=True)
-    col = col.reshape(-1, x.shape[1])
-    ones = np.zeros((len(col), len(names)), np.float32)
-    ones[np.arange(len(col))[:, None], col] = 1
-    one_x, one_y = ones[: len(x)], ones[len(x) :]
-    below = int(np.searchsorted(names, pivot))
-    fit = one_x @ one_y.T >= shared
-    return fit & (one_x[:, :below] @ one_y[:, :below].T == 0) if below else fit
-
-
-def embedding_near_duplicates(embeddings: DataFrame, least: float = 0.9, head: int = HEAD, shared: int = SHARED, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _first_here(x: np.ndarray, y: np.ndarray, pivot: int) -> np.ndarray:
+    """Pairs of rows that share no reference vector below ``pivot``: each pair counts in one list only."""
+    names = np.intersect1d(x[x < pivot], y[y < pivot])
+    if not len(names):
+        return np.ones((len(x), len(y)), bool)
+    one_x, one_y = ((h[:, :, None] == names).any(1).astype(np.float32) for h in (x, y))
+    return one_x @ one_y.T == 0
+
+
+def _spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of few of the links that connect all that the links connect."""
+    hit = hit.copy()
+    n, m = hit.shape
+    a = b = np.empty(0, np.int64)
+    while hit.any():  # each group with a link to another one is joined with one: the groups at least halve
+        i, j = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        a = np.concatenate([a, i, hit[:, j].argmax(0)])
+        b = np.concatenate([b, hit[i].argmax(1), j])
+        label = np.arange(n + m)
+        who, root = _forest(label, a, n + b)
+        label[who] = root
+        hit &= label[:n, None] != label[n:]
+    return a, b
+
+
+def embedding_near_duplicates(embeddings: DataFrame, least: float = 0.9, head: int = HEAD, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors are linked where their cosine in double precision is ``least`` or more.  Null, empty and
@@ -128,16 +171,17 @@ def embedding_near_duplicates(embeddings: DataFrame, least: float = 0.9, head: i
     # One id may name several vectors; classes then get an id of their own beside it.
     member = good.join(classes, "v").select("vec_id", "rep", "weight", F.xxhash64("v").alias("kind"))
 
-    pivots = reference_vectors(classes.select(F.col("rep").alias("vec_id"), "v"), pivot_count(sizes["n"]))
-    heads = classes.select("rep", "v", "weight").mapInArrow(_heads(pivots, min(head, len(pivots))), "rep long, weight long, head array<int>, unit binary")
+    most = pivot_count(sizes["n"])
+    pivots = spread(reference_vectors(classes.select(F.col("rep").alias("vec_id"), "v"), TRIED * most), most)
+    heads = classes.select("rep", "v", "weight").mapInArrow(_heads(pivots, min(head, len(pivots)), least), "rep long, weight long, head array<int>, unit binary")
     heads = cut(heads, "heads")
-    lists = heads.select(F.explode("head").alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each pivot
-    posted = heads.select(F.explode("head").alias("pivot"), "rep", "weight", "head", "unit").join(F.broadcast(lists), "pivot")
+    lists = heads.select(F.explode(F.array_distinct("head")).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each pivot
+    posted = heads.select(F.explode(F.array_distinct("head")).alias("pivot"), "rep", "weight", "head", "unit").join(F.broadcast(lists), "pivot")
     posted = posted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     pairs = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
     pairs = pairs.select("pivot", "left", "right", "block", "rep", "weight", "head", "unit").repartition(partitions(spark), "pivot", "left", "right")
-    found = cut(pairs.groupBy("pivot", "left", "right").applyInPandas(_compare(least, min(shared, len(pivots))), "rep long, links long, root long"), "found")
+    found = cut(pairs.groupBy("pivot", "left", "right").applyInPandas(_compare(least), "rep long, links long, root long"), "found")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     same_id = member.groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"))

@@ -6,6 +6,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,21 @@ def test_embedding_recall_on_pairs_at_the_threshold(spark):
     assert found >= 0.95 * ((u @ u.T >= 0.9).sum() - len(v))
 
 
+def test_embedding_links_inside_a_large_group(spark):
+    rng = np.random.RandomState(12)
+    n, m = 30600, 10200
+    v = rng.randn(n, 64)
+    v[:m] = rng.randn(64) + 0.2 * v[:m]
+    v = v[rng.permutation(n)]
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": list(v)}))
+    got = embedding_near_duplicates(df).toPandas().sort_values("vec_id")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = np.concatenate([(p @ u.T >= 0.9).sum(1) - 1 for p in np.array_split(u, 30)])
+    assert (near > 0).sum() >= m
+    assert got["n_links"].tolist() == near.tolist()
+    assert got["component_id"].tolist() == np.where(near > 0, np.flatnonzero(near)[0], np.arange(n)).tolist()
+
+
 def test_top_k_equals_brute_force(spark):
     v = vectors(400, 8)
     v[100:120] = v[0]
