@@ -197,6 +197,35 @@ def test_license_notices(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_notices_over_several_lines(spark):
+    import textwrap
+
+    families = license_scan.FAMILIES
+    mit, bsd = families["mit"][2], families["bsd"][1:4]
+    lines = [
+        (1, "Copyright someone\n\n" + textwrap.fill(mit, 72)),
+        (2, "\n\n".join(textwrap.fill(t, 72) for t in bsd)),
+        (3, "\n".join(" * " + x for x in textwrap.wrap(families["gpl"][1], 40))),
+        (4, textwrap.fill(families["lgpl"][1], 72)),
+        (5, textwrap.fill(families["isc"][0], 72)),
+        (6, textwrap.fill(families["apache"][2], 72)),
+        (7, textwrap.fill(families["proprietary"][0], 72)),
+        (8, textwrap.fill(mit, 72).replace("\n", "\n\n")),
+        (9, textwrap.fill("The house was old and the garden was wide. " + mit, 72)),
+    ]
+    df = spark.createDataFrame(lines, "doc_id long, text string")
+    got: dict[int, list] = {}
+    for r in license_scan.scan_licenses(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph"], r["family"], r["confirmed"]))
+    starts = [0]
+    for t in bsd[:2]:
+        starts.append(starts[-1] + len(textwrap.wrap(t, 72)) + 1)
+    assert got[1] == [(2, "mit", True)]
+    assert sorted(got[2]) == [(i, "bsd", True) for i in starts]
+    assert [got[i] for i in (3, 4, 5, 6, 7, 9)] == [[(0, f, True)] for f in ("gpl", "lgpl", "isc", "apache", "proprietary", "mit")]
+    assert not any(sure for _, _, sure in got.get(8, []))  # lines apart aren't one paragraph
+
+
 def test_license_scan_on_the_table(spark):
     docs = table(spark, SF, "documents")
     got = {(r["doc_id"], r["paragraph"]) for r in license_scan.scan_licenses(docs).collect()}
