@@ -274,6 +274,19 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_ids_of_mixed_white_space_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    bpe, tok = packing.FastBpe(path), Tokenizer.from_file(path)
+    blanks = "\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2003\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+    rng = np.random.RandomState(6)
+    texts = ["price: \xa0 \xa0 5 euros", "\xa0 a", " \xa0 ", "a\xa0 b \xa0c"]
+    texts += [f"one{a} {b}two{b} {a} 3" for a in blanks for b in blanks]
+    texts += ["".join(rng.choice(list(blanks + "   ab1.'"), 30)) for _ in range(2000)]
+    assert [bpe.ids(t).tolist() for t in texts] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_uses_everything_once():
     rng = np.random.RandomState(0)
     for _ in range(20):
