@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,13 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="termweave-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share.  Where the session names none, a temporary one in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="termweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -38,8 +46,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like :func:`cut`, but dealt into files by a hash of ``key``, so that a join on it doesn't move these rows again."""
+    spark = df.sparkSession
+    table_name = f"termweave_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/termweave/{table_name}"
+    df.write.option("path", path).bucketBy(partitions(spark), key).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.schema  # resolved now: the plan holds path and buckets, the catalog entry isn't needed any more
+    spark.sql(f"DROP TABLE {table_name}")
+    out._termweave_path = path
+    return out
+
+
 def drop_cut(*frames: DataFrame) -> None:
-    """Delete tables written by :func:`cut` that no later step reads."""
+    """Delete tables written by :func:`cut` or :func:`bucketed` that no later step reads."""
     for df in frames:
         path = getattr(df, "_termweave_path", None)
         if path is None:

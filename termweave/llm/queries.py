@@ -47,9 +47,24 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library ids of all texts and their decoding.  The model file is of the BPE kind: its fold merges by score.
+
+    Null texts count as empty; repeated rows are encoded each; no rows give none.
+    """
+    return _pieces(spark, sf_dir, unigram=False)
+
+
+def sentencepiece_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op6, with the same pieces and scores read as a unigram model, whose fold is Viterbi."""
+    return _pieces(spark, sf_dir, unigram=True)
+
+
+def _pieces(spark: SparkSession, sf_dir: str, unigram: bool) -> DataFrame:
+    from termweave.llm.piece_model import PieceModel
     from termweave.llm.sentencepiece import decode, encode
 
-    model = tokenizer_file("piece_bpe_32k.model")
+    model = PieceModel.load(tokenizer_file("piece_bpe_32k.model"))
+    model = model.as_unigram() if unigram else model
     coded = encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"])
     back = decode(coded, model, keep=["doc_id", "text", "n_ids", "ids"])
     return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
@@ -82,7 +97,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return found | {"sentencepiece_best_path": sentencepiece_best_path}
 
 
 OP3_SQL = """

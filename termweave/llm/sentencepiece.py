@@ -1,15 +1,18 @@
 """SentencePiece encoding through a relational lattice, and decoding.
 
 Texts are cut where no piece of the model can reach across (two neighbouring characters that no piece
-holds side by side), so the units between cuts can be encoded on their own.  The distinct units of
+holds side by side), so the words between cuts can be encoded on their own.  The distinct words of
 the corpus are exploded into their bounded-length substrings, equi-joined to the piece table, the
-edges found are grouped by unit, and a higher-order aggregate folds them into ids: the best path for
-unigram models, merges by rank for BPE models, whose best path would give other ids than the library.
+edges found are grouped by word, and a higher-order aggregate folds them once from first to last.
+For unigram models the fold is Viterbi: edges come by their end, and the state holds the best path to
+each place.  BPE models merge by score, and the path of the best sum would give other ids than the
+library; for them edges come by score, the state holds the boundaries left, and an edge that spans
+exactly two parts removes the boundary between them.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
-from termweave.llm.common import cut, partitions
-from termweave.llm.piece_model import BPE, BYTE, SPACE, PieceModel
+from termweave.llm.common import bucketed, byte_buffers, cut, drop_cut, partitions, slices
+from termweave.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel
+from termweave.llm.shingles import mix, ring
 
 BLOCK = 32 << 20  # bytes of text of a block
-WIDE = 60  # longer units don't fit the fold's bit mask and are encoded one by one
+SLICE = 4 << 20  # bytes of text cut into units at once, but for a longer text
+KEY = 64  # characters of a unit from which its hash takes its place as a key
+PART = 64  # places of a unit whose substrings are taken from one part of it
+STRIDE = 32  # places from one word of the boundaries to the next; a word holds twice as many
 UNKNOWN_PENALTY = 10.0
 
 
@@ -38,64 +45,70 @@ class Cutter:
         number = {c: i for i, c in enumerate(chars, 1)}
         self.joined = np.zeros(self.width * self.width, bool)
         self.joined[[number[a] * self.width + number[b] for a, b in pairs]] = True
+        self.dummy_prefix = model.dummy_prefix
+
+    def slices(self, texts: pa.Array):
+        """For each slice of the texts: their count, the slice's distinct units, and of each text's units in order the number there.
+
+        Units are told apart by a hash of their characters, then compared character by character.
+        """
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        offs = byte_buffers(texts)[1]
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE, "right")) - 1)
+            part = pc.replace_substring(texts.slice(lo, hi - lo), " ", SPACE)
+            if self.dummy_prefix:
+                part = pc.if_else(pc.equal(pc.binary_length(part), 0), "", pc.binary_join_element_wise(SPACE, part, ""))
+            chars = np.cumsum(np.append(0, np.asarray(pc.utf8_length(part)))).astype(np.int64)
+            whole = byte_buffers(part)[0].tobytes().decode("utf-8", "replace")
+            yield hi - lo, *self._units(whole, chars)
+            lo = hi
+
+    def _units(self, whole: str, chars: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of a slice, the number of each unit's text in it, and the count of units of each text."""
+        code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(code)
+        if not n:
+            return [], np.zeros(0, np.int64), np.zeros(len(chars) - 1, np.int64)
+        i = self.index[code]
+        begins = np.ones(n, bool)
+        begins[1:] = ~self.joined[i[:-1] * self.width + i[1:]]
+        begins[chars[:-1][chars[:-1] < n]] = True
+        start = np.flatnonzero(begins)
+        stop = np.append(start[1:], n)
+        power, inverse = ring(n + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+            h = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        rep = start[first]
+        size = stop - start
+        same = np.repeat(rep[which] - start, size) + np.arange(n)
+        if (size[first][which] != size).any() or (code[np.minimum(same, n - 1)] != code).any():  # two units with one hash
+            names = [whole[a:b] for a, b in zip(start.tolist(), stop.tolist())]
+            units = sorted(set(names))
+            place = {u: k for k, u in enumerate(units)}
+            which = np.array([place[u] for u in names])
+        else:
+            units = [whole[a:b] for a, b in zip(rep.tolist(), (rep + size[first]).tolist())]
+        return units, which, np.diff(np.searchsorted(start, chars))
 
-    def units(self, text: str) -> list[str]:
-        if len(text) < 2:
-            return [text] if text else []
-        i = self.index[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        at = (np.flatnonzero(~self.joined[i[:-1] * self.width + i[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
 
+def unit_key(unit: str) -> str:
+    """The unit, or for a long one a hash that no short unit can equal: what rows are grouped by stays short."""
+    return unit if len(unit) <= KEY else "\0" + hashlib.sha256(unit.encode()).hexdigest()
 
-def encode_unit(model: PieceModel, unit: str, table: dict[str, tuple[int, float]]) -> list[int]:
-    """The ids of one unit of any length: merges from a heap, or the best path."""
-    n = len(unit)
-    widest = max(map(len, table), default=1)
-    if model.kind == BPE:
-        left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), [i + 1 for i in range(n)]
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = right[i]
-            if j < n and end[j] - i <= widest and unit[i : end[j]] in table:
-                heapq.heappush(heap, (-table[unit[i : end[j]]][1], i, j, end[j]))
-
-        alive = [True] * n
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and right[i] == j and end[j] == stop):
-                continue
-            alive[j], end[i], right[i] = False, stop, right[j]
-            if right[i] < n:
-                left[right[i]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        spans = [(i, end[i]) for i in range(n) if alive[i]]
-    else:
-        floor = min((s for _, s in table.values()), default=0.0) - UNKNOWN_PENALTY
-        best: list[tuple[float, int]] = [(0.0, -1)] + [(float("-inf"), -1)] * n
-        for i in range(n):
-            for j in range(i + 1, min(n, i + widest) + 1):
-                score = table[unit[i:j]][1] if unit[i:j] in table else floor if j == i + 1 else None
-                if score is not None and best[i][0] + score > best[j][0]:
-                    best[j] = (best[i][0] + score, i)
-        spans, j = [], n
-        while j:
-            spans.append((best[j][1], j))
-            j = best[j][1]
-        spans.reverse()
-    out: list[int] = []
-    for i, j in spans:
-        if unit[i:j] in table:
-            out.append(table[unit[i:j]][0])
-        elif model.bytes_ids:
-            out += [model.bytes_ids[b] for b in unit[i:j].encode()]
-        else:
-            out.append(model.unknown)
-    return out
+
+def _units_of(cutter: Cutter, texts: pa.Array) -> list[str]:
+    """The distinct units of a block's texts, in order."""
+    seen: set[str] = set()
+    for _, units, _, _ in cutter.slices(texts):
+        seen.update(units)
+    return sorted(seen)
 
 
 def _distinct_units(model: PieceModel):
@@ -104,199 +117,250 @@ def _distinct_units(model: PieceModel):
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = unpacked(blob.as_py())
-                seen: set[str] = set()
-                for text in rows.column(rows.num_columns - 1):
-                    seen.update(cutter.units(model.normalized(text.as_py() or "")))
-                units = sorted(seen)
-                for at in range(0, len(units), 100_000):
-                    part = pa.array(units[at : at + 100_000], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part], ["block", "unit"])
+                units = _units_of(cutter, rows.column(rows.num_columns - 1))
+                for at in range(0, len(units), 50_000):
+                    part = units[at : at + 50_000]
+                    n = len(part)
+                    place = np.arange(at, at + n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, block)), pa.array(place), pa.array(list(map(unit_key, part)), pa.string()), pa.array([u if len(u) > KEY else None for u in part], pa.string())],
+                        ["block", "place", "key", "long"],
+                    )
 
     return run
 
 
-def _encode_long(model: PieceModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {p: (i, s) for p, i, s in model.vocabulary}
-        for batch in batches:
-            units = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_unit(model, u, table) for u in units], pa.list_(pa.int32()))], ["unit", "ids"])
+def _bits(x, by: int, wide: int):
+    return F.shiftrightunsigned(x, by).bitwiseAND((1 << wide) - 1)
 
-    return run
 
+# The code of a piece is its id, that of an unknown character the count of ids + the character; codes
+# beyond stand for several ids.  An edge of a BPE word is a struct: its order (rank, first place, size),
+# its code, and its ends and inner places as bits of one word of the boundaries.  An edge of a unigram
+# word is one number, from high to low its last place, size and code.
+CODE, SIZE, PLACE = 22, 6, 35
 
-def _once(value, body):
-    """body(value) with the value computed once: an expression named within a lambda is computed for each element."""
-    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
+def _merged(edges):
+    """Codes of a BPE word: one pass over the edges, the best first.
 
-def _byte_ids(model: PieceModel, char):
-    """Ids of a character that is no piece."""
-    if not model.bytes_ids:
-        return F.array(F.lit(model.unknown))
-    digits = F.hex(F.encode(char, "UTF-8"))
-    known = F.array(*map(F.lit, model.bytes_ids))
-    return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.element_at(known, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + 1))
+    Boundaries are words of 64 places, one for each STRIDE places, so each edge lies within one.
+    """
 
+    def step(state, x):
+        word = x["word"]
 
-def _merged(edges, n):
-    """Boundaries (bit mask) of a BPE unit: while a pair of neighbours forms a piece, the best such piece is made."""
-    one = F.lit(1).cast("long")
+        def without(v, j):
+            gone = F.get(state, word).bitwiseAND(x["inner"])
+            near = F.when(j == word, gone).when(j > word, F.shiftrightunsigned(gone, STRIDE)).otherwise(F.shiftleft(gone, STRIDE))
+            return F.when(F.abs(j - word) < 2, v.bitwiseAND(F.bitwise_not(near))).otherwise(v)
 
-    def step(mask, _):
-        fit = F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(fit, F.lit(0))["inner"])), mask)
+        seen = F.get(state, word)
+        fits = (seen.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(seen.bitwiseAND(x["inner"])) == 1)
+        return F.when(fits, F.transform(state, without)).otherwise(state)
 
-    full = F.call_function("shiftleft", one, n + 1) - one
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n - 1, F.size(edges)))), full, step)
+    wide = F.filter(edges, lambda x: x["inner"] != 0)
+    n = F.size(edges) - F.size(wide)  # each place has one edge of one character
+    full = F.array_repeat(F.lit(-1).cast("long"), F.shiftright(n, 5) + 1)
 
+    def path(state):
+        left = F.filter(edges, lambda x: F.get(state, x["word"]).bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"])
+        return F.transform(F.array_sort(F.transform(left, lambda x: F.struct(x["first"], x["code"]))), lambda x: x["code"])
 
-def _best_path(edges, n):
-    """Ends (array) of the best path of a unigram unit, first the last: scores and origins are folded over the positions."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s")))
+    return F.aggregate(wide, full, step, path)
 
-    def step(state, t):
-        into = F.filter(edges, lambda e: e["e"] == t)
-        paths = F.transform(into, lambda e: F.struct((F.element_at(state, e["s"] + 1)["score"] + e["score"]).alias("score"), (-e["s"]).alias("order")))
-        best = F.array_max(paths)
-        return F.concat(state, F.array(F.struct(best["score"].alias("score"), (-best["order"]).alias("s"))))
 
-    def traced(path):
-        back = lambda done, _: F.when(F.element_at(done, -1) == 0, done).otherwise(F.concat(done, F.array(F.element_at(path, F.element_at(done, -1) + 1)["s"])))
-        return F.reverse(F.aggregate(F.sequence(F.lit(1), n), F.array(n), back))
+def _best_path(edges, score_of_id, ids: int, floor: float):
+    """Codes of a unigram word: the best path, of equal ones that with the earlier start of its last piece."""
+    code = lambda x: x.bitwiseAND((1 << CODE) - 1).cast("int")
+    size = lambda x: _bits(x, CODE, SIZE).cast("int")
+    last = lambda x: F.shiftrightunsigned(x, CODE + SIZE).cast("int")
+    worth = lambda x: F.when(code(x) < ids, F.get(score_of_id, code(x))).otherwise(F.lit(floor).cast("float"))
 
-    return _once(F.aggregate(F.sequence(F.lit(1), n), start, step), traced)
+    def step(state, x):  # the state has an entry for each place from 0 on; the edges of one end come the shortest first
+        made = F.struct((F.get(state, last(x) - size(x))["score"] + worth(x)).alias("score"), x.alias("edge"))
+        shorter = F.when(made["score"] >= F.element_at(state, -1)["score"], F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(made))).otherwise(state)
+        return F.when(size(x) == 1, F.concat(state, F.array(made))).otherwise(shorter)
 
+    def path(state):  # from the end back, each step names the place where its piece begins
+        back = F.aggregate(
+            F.sequence(F.size(state) - 1, F.lit(1), F.lit(-1)),
+            F.struct((F.size(state) - 1).alias("at"), F.array().cast("array<int>").alias("codes")),
+            lambda s, i: F.when(s["at"] == i, F.struct((i - size(F.get(state, i)["edge"])).alias("at"), F.concat(s["codes"], F.array(code(F.get(state, i)["edge"]))).alias("codes"))).otherwise(s),
+        )
+        return F.reverse(back["codes"])
 
-def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, ids) of distinct units by the lattice."""
-    spark = units.sparkSession
-    pieces = spark.createDataFrame([(p, i, float(s)) for p, i, s in model.vocabulary], "piece string, id int, score double")
-    widest = max((len(p) for p, _, _ in model.vocabulary), default=1)
-    floor = min((s for _, _, s in model.vocabulary), default=0.0) - UNKNOWN_PENALTY
-    short = units.where(F.length("unit") <= WIDE)
-    spots = short.select("unit", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("at"))
-    spots = spots.select("unit", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(widest), F.length("unit") - F.col("at") + 1))).alias("size"))
-    spots = spots.withColumn("piece", F.substring("unit", F.col("at"), F.col("size")))
-    # The piece table has the model's size; single characters stay so that every unit keeps its rows.
-    found = spots.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")
-    one = F.lit(1).cast("long")
-    bit = lambda i: F.call_function("shiftleft", one, i)
-    s, e = F.col("at") - 1, F.col("at") + F.col("size") - 1
-    edge = F.struct(
-        (-F.col("score")).alias("rank"),
-        s.alias("s"),
-        e.alias("e"),
-        F.coalesce("score", F.lit(floor)).alias("score"),
-        F.col("id"),
-        (bit(s) + bit(e)).alias("ends"),
-        (bit(e) - bit(s + 1)).alias("inner"),
-    )
-    grouped = found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("unit"))
-
-    def bounds_of(mask):
-        return F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(one) == 1)
+    start = F.array(F.struct(F.lit(0.0).cast("float").alias("score"), F.lit(0).cast("long").alias("edge")))
+    return F.aggregate(edges, start, step, path)
 
-    if model.kind == BPE:
-        wide = F.filter("edges", lambda x: x["e"] - x["s"] > 1)
-        mask = _once(wide, lambda w: F.when(F.size(w) == 0, F.lit(-1).cast("long")).otherwise(_merged(w, F.col("n"))))
-        bounds = _once(mask, bounds_of)
-    else:
-        bounds = _best_path(F.col("edges"), F.col("n"))
-    known = F.filter("edges", lambda x: x["id"].isNotNull())
-    by_span = _once(known, lambda k: F.map_from_arrays(F.transform(k, lambda x: x["s"] * 64 + x["e"]), F.transform(k, lambda x: x["id"])))
 
-    def ids_of(b, found):
-        def of_span(x):
-            bytes_ = _byte_ids(model, F.substring("unit", x["i"] + 1, x["j"] - x["i"]))
-            return _once(F.element_at(found, x["i"] * 64 + x["j"]), lambda v: F.when(v.isNull(), bytes_).otherwise(F.array(v)))
+def _as_ids(codes, model: PieceModel, beyond: list[list[int]]):
+    """Ids of codes: a character that is no piece becomes the ids of its UTF-8 bytes, or the unknown id."""
+    ids = len(model.pieces)
+    known = F.array(*map(F.lit, model.bytes_ids or []))
+
+    def of(c):
+        x = c - ids
+        tail = lambda by: F.get(known, F.shiftright(x, by).bitwiseAND(63) + 128)
+        head = lambda by, mark: F.get(known, F.shiftright(x, by) + mark)
+        three = F.when(x < 0x10000, F.array(head(12, 0xE0), tail(6), tail(0))).otherwise(F.array(head(18, 0xF0), tail(12), tail(6), tail(0)))
+        found = F.when(c < ids, F.array(c))
+        for i, more in enumerate(beyond):
+            found = found.when(c == ids + 0x110000 + i, F.array(*map(F.lit, more)))
+        if not model.bytes_ids:
+            return found.otherwise(F.array(F.lit(model.unknown)))
+        return found.when(x < 0x80, F.array(head(0, 0))).when(x < 0x800, F.array(head(6, 0xC0), tail(0))).otherwise(three)
+
+    # The fold is named once: an expression named several times would be computed as often.
+    each = F.transform(F.array(codes), lambda cs: F.when(F.exists(cs, lambda c: c >= ids), F.flatten(F.transform(cs, of))).otherwise(cs))
+    return F.get(each, F.lit(0))
+
 
-        spans = F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda i, j: F.struct(i.alias("i"), j.alias("j")))
-        return F.flatten(F.transform(spans, of_span))
+def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
+    """(key, ids) of the distinct units given by ``key`` (see :func:`unit_key`) and, where it is a hash, ``long``.
 
-    ids = _once(bounds, lambda b: _once(by_span, lambda found: ids_of(b, found)))
-    done = grouped.select("unit", ids.alias("ids"))
-    long = units.where(F.length("unit") > WIDE).mapInArrow(_encode_long(model), "unit string, ids array<int>")
-    return done.unionAll(long)
+    Dealt by a hash of the key the rows stay where they are.
+    """
+    spark = units.sparkSession
+    ids = len(model.pieces)
+    ranked, beyond = model.ranked()
+    if max((len(p) for p, _, _ in ranked), default=1) > STRIDE or ids + 0x110000 + 2 * len(ranked) >= 1 << CODE:
+        raise ValueError("the model's pieces are too long or too many")
+    # The piece table has the model's size, whatever the corpus.
+    pieces = spark.createDataFrame([*ranked, *((p, i, -1) for p, i, _ in model.vocabulary if len(p) == 1)], "piece string, id int, rank int")
+    widest = max([1, *(len(p) for p, _, _ in ranked)])
+    text = F.coalesce("long", "key")
+    parts = units.select("key", F.length(text).alias("n"), text.alias("text"), F.explode(F.sequence(F.lit(0), F.shiftright(F.length(text) - 1, 6))).alias("part"))
+    parts = parts.select("key", "n", (F.col("part") * PART).alias("base"), F.substring("text", F.col("part") * PART + 1, F.lit(PART + widest - 1)).alias("text"))
+    spots = parts.select("key", "n", "base", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(PART), F.col("n") - F.col("base")))).alias("at"))
+    spots = spots.select("key", "base", "text", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(widest), F.col("n") - F.col("base") - F.col("at") + 1))).alias("size"))
+    spots = spots.select("key", (F.col("base") + F.col("at") - 1).cast("long").alias("first"), "size", F.substring("text", F.col("at"), F.col("size")).alias("piece"))
+    found = spots.join(F.broadcast(pieces), "piece", "left").where("id is not null or size = 1")  # single characters keep each place's row
+    code = F.coalesce("id", F.ascii("piece") + ids).cast("long")
+    shift = lambda x, by: F.shiftleft(x.cast("long"), by)
+    if model.kind == BPE:
+        off = F.col("first").bitwiseAND(STRIDE - 1).cast("int")
+        bits = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), by)
+        order = shift(F.when(F.col("size") > 1, F.col("rank")).otherwise(len(ranked)), PLACE + SIZE) + shift(F.col("first"), SIZE) + F.col("size")
+        edge = F.struct(
+            order.alias("order"),
+            F.col("first"),
+            code.cast("int").alias("code"),
+            F.shiftright("first", 5).cast("int").alias("word"),
+            (bits(off) + bits(off + F.col("size"))).alias("ends"),
+            (bits(off + F.col("size")) - bits(off + 1)).alias("inner"),
+        )
+        codes = _merged(F.col("edges"))
+    else:
+        edge = shift(F.col("first") + F.col("size"), SIZE + CODE) + shift(F.col("size"), CODE) + code
+        worth = F.expr(f"cast(split('{','.join(repr(float(np.float32(s))) for _, s, _ in model.pieces)}', ',') as array<float>)")
+        floor = min((s for _, _, s in model.vocabulary), default=0.0) - UNKNOWN_PENALTY
+        codes = _best_path(F.col("edges"), worth, ids, floor)
+    grouped = found.select("key", edge.alias("edge")).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return grouped.select("key", codes.alias("codes")).select("key", _as_ids(F.col("codes"), model, beyond).alias("ids"))
 
 
-def _assemble(model: PieceModel):
+def _assemble(model: PieceModel, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(model)
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = unpacked(batch.column(0)[k].as_py())
-                units, ids = batch.column(1)[k].values, batch.column(2)[k].values
-                known = dict(zip(units.to_pylist(), ids.to_pylist())) if units is not None else {}
                 texts = rows.column(rows.num_columns - 1)
-                for at in range(0, rows.num_rows, 2000):
-                    made, sizes = [], []
-                    for text in texts.slice(at, 2000):
-                        own: list[int] = []
-                        for found in map(known.__getitem__, cutter.units(model.normalized(text.as_py() or ""))):
-                            own += found
-                        sizes.append(len(own))
-                        made.append(np.array(own, "<u4").tobytes())
-                    part = rows.slice(at, 2000)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], [*rows.schema.names[:-1], "n_ids", "ids"])
+                number: dict[str, int] = {}
+                ids, ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+                if batch.column(1)[k].is_valid:
+                    answer = batch.column(1)[k].values
+                    units = _units_of(cutter, texts)
+                    number = {units[p]: i for i, p in enumerate(answer.field(0).to_pylist())}
+                    lists = answer.field(1)
+                    ids = np.asarray(lists.flatten()).astype("<u4")
+                    ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths()))).astype(np.int64)
+                at = 0
+                for count, units, which, per in cutter.slices(texts):
+                    of = np.array([number[u] for u in units], np.int64)[which]
+                    size = ends[of + 1] - ends[of]
+                    stop = np.append(0, np.cumsum(size))
+                    made = ids[np.repeat(ends[of] - stop[:-1], size) + np.arange(stop[-1])]
+                    edge = stop[np.append(0, np.cumsum(per))]
+                    part = rows.slice(at, count)
+                    kept = part.columns if with_text else part.columns[:-1]
+                    blobs = [made[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(edge)), pa.array(blobs, pa.binary())], [*rows.schema.names[: len(kept)], "n_ids", "ids"])
+                    at += count
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The ``keep`` columns (default: doc_id) of every row, n_ids, and ids (little-endian unsigned 32-bit).
 
-    The ids are those of the sentencepiece library, without begin and end ids.  A null or empty text
-    has none; units of any length are encoded whole; repeated rows are encoded each; an empty table
-    gives no rows.
+    ``model`` is a model or the path of its file.  The ids are those of the sentencepiece library,
+    without begin and end ids.  A null or empty text has none; words of any length go the same way; a
+    word of n characters costs some n * n / 32 steps, which only texts of a million characters without
+    a cut make felt.  Repeated rows are encoded each; an empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
     spark: SparkSession = docs.sparkSession
-    model = PieceModel.load(model_path)
-    whole = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    blocks = cut(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "texts")
+    model = PieceModel.load(model) if isinstance(model, str) else model
+    others = [c for c in keep if c != text_col]
+    whole = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("__text"))
+    blocks = bucketed(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "texts", "block")
     n = partitions(spark)
-    uses = cut(blocks.select("block", "payload").repartition(n, "block").mapInArrow(_distinct_units(model), "block long, unit string"), "units")
-    # Few groups would fit the default before edges are sorted; a task's units are bounded by its partition.
+    uses = blocks.select("block", "payload").mapInArrow(_distinct_units(model), "block long, place int, key string, long string")
+    uses = cut(uses, "units")  # read twice
+    # Groups come one after another; the default would sort all edges after a few of them.
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    coded = encode_units(uses.select("key", "long").repartition(n, "key").distinct(), model)
     before = spark.conf.get(limit)
     spark.conf.set(limit, "20000")
     try:
-        coded = cut(encode_units(uses.select("unit").distinct(), model), "coded")
+        answers = uses.select("block", "place", "key").repartition(n, "key").join(coded.hint("shuffle_hash"), "key").select("block", "place", "ids")
+        answers = cut(answers, "coded")
     finally:
         spark.conf.set(limit, before)
-    answers = uses.join(coded, "unit").groupBy("block").agg(F.collect_list(F.struct("unit", "ids")).alias("a"))  # bounded by the block's text
-    answers = answers.select("block", F.col("a.unit").alias("units"), F.col("a.ids").alias("ids"))
-    fields = whole.schema.fields[:-1]
+    drop_cut(uses)
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))  # bounded by the block's text
+    fields = [f for f in whole.schema.fields[:-1]] + ([whole.schema.fields[-1]] if text_col in keep else [])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_ids long, ids binary"
-    done = blocks.join(answers, "block", "left").select("payload", "units", "ids").mapInArrow(_assemble(model), schema)
-    return done.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_ids", "ids")
+    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("payload", "answers").mapInArrow(_assemble(model, text_col in keep), schema)
+    names = {c: f"__k{i}" for i, c in enumerate(others)} | {text_col: "__text"}
+    return done.select(*[F.col(names[c]).alias(c) for c in keep], "n_ids", "ids")
 
 
 def _decode(model: PieceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [t for _, _, t in model.pieces]
-        as_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == 3 else " ⁇ ".encode() if t == 2 else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
-        lead = {i for i, (p, _, t) in enumerate(model.pieces) if t != BYTE and p.startswith(SPACE)}
+        kinds = np.array([t for _, _, t in model.pieces])
+        as_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
+        pool, width = np.frombuffer(b"".join(as_bytes), np.uint8), np.array(list(map(len, as_bytes)))
+        begin = np.cumsum(width) - width
+        lead = np.array([t == NORMAL and p.startswith(SPACE) for p, _, t in model.pieces]) & model.dummy_prefix
         for batch in batches:
+            flat, offs = byte_buffers(batch.column(batch.num_columns - 1))
             texts = []
-            for blob in batch.column(batch.num_columns - 1):
-                ids = np.frombuffer(blob.as_py() or b"", "<u4").tolist()
-                while ids and kinds[ids[0]] == 3:
-                    del ids[0]
-                raw = b"".join([as_bytes[i] for i in ids])
-                if model.dummy_prefix and ids and ids[0] in lead:
-                    raw = raw[1:]
-                texts.append(raw.decode("utf-8", "replace"))
+            for _, _, part, ends in slices(flat, offs):
+                ids, ends = part.view("<u4"), ends // 4
+                at, size = begin[ids], width[ids]
+                shown = np.flatnonzero(kinds[ids] != CONTROL)
+                first = shown[np.minimum(np.searchsorted(shown, ends[:-1]), max(0, len(shown) - 1))] if len(shown) else shown
+                if len(shown):
+                    first = np.unique(first[(first >= ends[:-1]) & (first < ends[1:])])
+                    first = first[lead[ids[first]]]
+                    at[first] += 1
+                    size[first] -= 1
+                stop = np.append(0, np.cumsum(size))
+                raw = pool[np.repeat(at - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+                edge = stop[ends].tolist()
+                texts += [raw[x:y].decode("utf-8", "replace") for x, y in zip(edge[:-1], edge[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "decoded"])
 
     return run
 
 
-def decode(rows: DataFrame, model_path: str, keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
+def decode(rows: DataFrame, model: PieceModel | str, keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:
     """The ``keep`` columns and decoded, the text of each row's ids; null ids give the empty text."""
     keep = ["doc_id"] if keep is None else keep
-    model = PieceModel.load(model_path)
+    model = PieceModel.load(model) if isinstance(model, str) else model
     kept = rows.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(ids_col).cast("binary").alias("__ids"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", decoded string"
     out = kept.mapInArrow(_decode(model), schema)

@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _ring(n: int) -> tuple[np.ndarray, np.ndarray]:
+def ring(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the ring element and of its inverse, up to n - 1."""
     if not _powers or len(_powers[0]) < n:
         size = 1 << max(16, (n - 1).bit_length())
@@ -50,7 +50,7 @@ def word_hashes(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops[:-1] &= ~word[1:]
     stops[inner[inner > 0] - 1] = word[inner[inner > 0] - 1]
     stop = np.flatnonzero(stops) + 1
-    power, inverse = _ring(n + 1)
+    power, inverse = ring(n + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[flat] * power[:n], out=sums[1:])

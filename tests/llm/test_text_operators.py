@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -141,14 +142,16 @@ def test_extraction_of_whole_table(spark):
 # --- SentencePiece --------------------------------------------------------------------------------
 
 
+ODD_TEXTS = [(9000, "Hello  world\n\tä 漢字  x "), (9001, "▁a b ▁▁"), (9002, ""), (9003, None), (9004, " " * 40 + "x"), (9005, "e" * 70 + "thethetheation" * 200), (9006, "a\x00b 😀é߿ࠀ￿𐀀"), (None, "  lead"), (9000, "again"), (9007, "=" * 33 + " " + "-" * 64 + "e" * 65)]
+
+
 def test_bpe_ids_equal_the_library(spark):
     import sentencepiece as lib
 
     path = tokenizer_file("piece_bpe_32k.model")
     sp = lib.SentencePieceProcessor(model_file=path)
-    extra = [(9000, "Hello  world\n\tä 漢字  x "), (9001, "▁a b ▁▁"), (9002, ""), (9003, None), (9004, " " * 40 + "x"), (9005, "e" * 70 + "thethetheation" * 20), (9006, "a\x00b 😀é"), (None, "  lead"), (9000, "again")]
-    docs = table(spark, SF, "documents").select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
-    coded = sentencepiece.encode(docs, path, keep=["doc_id", "text"])
+    docs = table(spark, SF, "documents").select("doc_id", "text").unionAll(spark.createDataFrame(ODD_TEXTS, "doc_id long, text string")).withColumn("ids", F.lit("clash"))
+    coded = sentencepiece.encode(docs, path, keep=["text", "doc_id"])
     rows = sentencepiece.decode(coded, path, keep=["doc_id", "text", "n_ids", "ids"]).collect()
     assert len(rows) == docs.count()
     for r in rows:
@@ -158,21 +161,71 @@ def test_bpe_ids_equal_the_library(spark):
     assert sentencepiece.encode(docs.limit(0), path).count() == 0
 
 
+def as_proto(model):
+    """A model file of the pieces, without normalization."""
+
+    def field(n, data):
+        return bytes([n << 3 | 2]) + bytes([len(data) & 127 | 128, len(data) >> 7]) + data
+
+    pieces = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([0x18, t])) for p, s, t in model.pieces)
+    return pieces + field(2, bytes([0x18, model.kind, 35 << 3 & 127 | 128, 35 >> 4, 1])) + field(3, field(1, b"identity") + b"\x18\x01\x20\x00\x28\x01")
+
+
+def test_best_path_equals_the_library(spark):
+    import sentencepiece as lib
+
+    model = PieceModel.load(tokenizer_file("piece_bpe_32k.model")).as_unigram()
+    sp = lib.SentencePieceProcessor(model_proto=as_proto(model))
+    # The library adds up scores in single precision over a whole text: short ones, or its sums are rounded.
+    docs = table(spark, SF, "documents").select("doc_id", F.explode(F.split("text", "[.] ")).alias("text"))
+    docs = docs.where("length(text) < 300").unionAll(spark.createDataFrame([x for x in ODD_TEXTS if len(x[1] or "") < 300], "doc_id long, text string"))
+    rows = sentencepiece.encode(docs, model, keep=["text"]).collect()
+    assert len(rows) > 1000 and len(rows) == docs.count()
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == sp.encode(r["text"] or "")
+
+
+def plain_codes(model, unit):
+    """Merges one at a time, the best piece first, or the best of all paths."""
+    table = {p: (i, s) for p, i, s in model.vocabulary}
+    if model.kind == BPE:
+        parts = list(unit)
+        while True:
+            fit = [(-table[a + b][1], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in table]
+            if not fit:
+                break
+            i = min(fit)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    else:
+        floor = min(s for _, s in table.values()) - 10
+        best = [(0.0, [])] + [None] * len(unit)
+        for j in range(1, len(unit) + 1):
+            for i in range(j):  # the earlier start stays where sums are equal
+                s = table[unit[i:j]][1] if unit[i:j] in table else floor if j == i + 1 else None
+                if s is not None and (best[j] is None or np.float32(best[i][0] + np.float32(s)) > best[j][0]):
+                    best[j] = (np.float32(best[i][0] + np.float32(s)), [*best[i][1], unit[i:j]])
+        parts = best[-1][1]
+    return [table[p][0] if p in table else model.unknown for p in parts]
+
+
 @pytest.mark.parametrize("kind", [UNIGRAM, BPE])
 def test_lattice_equals_the_plain_encoder(spark, kind):
     rng = np.random.RandomState(4)
     pieces = [("<unk>", 0.0, UNKNOWN)] + [(c, -5.0 - i / 7, NORMAL) for i, c in enumerate("abc▁")]
-    seen = {p for p, _, _ in pieces}
-    while len(pieces) < 30:
-        p = "".join(rng.choice(list("abc"), rng.randint(2, 5)))
-        if p not in seen:
-            seen.add(p)
-            pieces.append((p, -float(rng.rand().__round__(3)) * 9, NORMAL))
+    while len(pieces) < 40:  # as they are learned: each piece joins two better ones
+        one, two = (pieces[1 + rng.randint(len(pieces) - 1)][0] for _ in range(2))
+        more = [*pieces, (one + two, -10.0 - len(pieces) if kind == BPE else -round(rng.rand(), 3) * 9, NORMAL)]
+        if one + two not in {p for p, _, _ in pieces} and len(one + two) < 30:
+            try:
+                PieceModel(more, kind, True).ranked()
+                pieces = more
+            except ValueError:
+                pass
     model = PieceModel(pieces, kind, True)
-    units = sorted({"".join(rng.choice(list("abcd"), rng.randint(1, 14))) for _ in range(150)})
-    known = {p: (i, s) for p, i, s in model.vocabulary}
-    got = {r["unit"]: r["ids"] for r in sentencepiece.encode_units(spark.createDataFrame([(u,) for u in units], "unit string"), model).collect()}
-    assert got == {u: sentencepiece.encode_unit(model, u, known) for u in units}
+    units = {"".join(rng.choice(list("abcd"), rng.randint(1, 14))) for _ in range(150)} | {"".join(rng.choice(list("abcd"), n, p=[0.4, 0.3, 0.25, 0.05])) for n in (31, 32, 33, 63, 64, 65, 96, 128, 129, 500)}
+    df = spark.createDataFrame([(sentencepiece.unit_key(u), u if len(u) > 64 else None) for u in units], "key string, long string")
+    got = {r["key"]: r["ids"] for r in sentencepiece.encode_units(df, model).collect()}
+    assert got == {sentencepiece.unit_key(u): plain_codes(model, u) for u in units}
 
 
 # --- licences -------------------------------------------------------------------------------------
