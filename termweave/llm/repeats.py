@@ -6,10 +6,13 @@ short string; the strings of a group are one collection whose Burrows-Wheeler tr
 prefixes are built symbol by symbol.  Runs of entries that share ``length`` symbols are equal windows,
 and the smallest document of a run decides what is removed from the others.
 
-Documents travel in compressed blocks.  A block sends each distinct string once with its smallest
-document, and gets back one smallest document per window, so a passage that a third of all documents
-hold costs one entry per block.  A minimizer that occurs in one document only can't be part of a
-repeat; those are told apart by their hashes before any text is sent.
+Documents lie in compressed blocks that are dealt into buckets of files once; what belongs to a block
+is brought to it, and its text doesn't move again.  A block sends each distinct string once with its
+smallest document, and gets back one smallest document per window, so a passage that a third of all
+documents hold costs one entry per block.  A minimizer that occurs in one document only can't be part
+of a repeat; those are told apart by 32 bits of their hashes before any text is sent.  A minimizer
+with very many strings (a common phrase in ever new surroundings) is split: its windows are grouped by
+a hash of the whole window instead.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
 from termweave.llm.column_bwt import window_minima
-from termweave.llm.common import byte_buffers, cut, partitions
+from termweave.llm.common import bucketed, byte_buffers, cut, partitions
 from termweave.llm.shingles import mix
 
 SEED = 24  # bytes of a minimizer's substring
@@ -32,6 +35,7 @@ BLOCK = 4 << 20  # bytes of text of a block, but for a longer document
 BUCKET = 16 << 20  # bytes of text per bucket of minimizers
 COLLECTION = 1 << 18  # symbols built at once, but for the strings of one minimizer
 SLICE = 1 << 19  # windows hashed at once
+HOT = 1 << 16  # runs of one minimizer, as counted block by block, from which it is split
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -89,6 +93,29 @@ class Runs:
     def only(self, keep: np.ndarray) -> None:
         self.start, self.count, self.value, self.doc = self.start[keep], self.count[keep], self.value[keep], self.doc[keep]
 
+    def split(self, hot: np.ndarray, flat: np.ndarray, length: int) -> None:
+        """Make a run of its own of each window of the marked runs, by a hash of all its bytes."""
+        if not hot.any():
+            return
+        per = np.where(hot, self.count, 1)
+        k = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        hot = np.repeat(hot, per)
+        self.start = np.repeat(self.start, per) + k
+        self.count = np.where(hot, 1, np.repeat(self.count, per))
+        self.value, self.doc = np.repeat(self.value, per), np.repeat(self.doc, per)
+        at = self.start[hot]
+        with np.errstate(over="ignore"):
+            h = self.value[hot]
+            for i in range(length):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + flat[at + i])
+        self.value[hot] = h
+
+
+def _places(value: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each minimizer, and 32 bits of it for the marks."""
+    h = mix(value)
+    return (h % np.uint64(buckets)).astype(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     """Ids of a block's rows; NOBODY where null."""
@@ -96,68 +123,86 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _block_rows(length: int, buckets: int):
-    """Each block's distinct minimizers by bucket, with a mark for those of several documents."""
+    """Each block's distinct minimizers by bucket, with their runs (127 at most) and a mark for those of several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = unpacked(blob.as_py())
                 runs = Runs(*byte_buffers(rows.column(rows.num_columns - 1)), length)
-                order = np.lexsort((runs.doc, runs.value))
-                value, doc = runs.value[order], runs.doc[order]
-                if not len(value):
+                if not len(runs.value):
                     continue
-                head = np.concatenate([[True], value[1:] != value[:-1]])
-                at = np.flatnonzero(head)
+                bucket, short = _places(runs.value, buckets)
+                key = bucket.astype(np.uint64) << np.uint64(32) | short
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], runs.doc[order]
+                at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 several = np.maximum.reduceat(doc, at) != np.minimum.reduceat(doc, at)
-                value = value[at]
-                bucket = (value % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
-                made = [(int(bucket[by[a]]), block, value[by[a:b]].tobytes(), np.packbits(several[by[a:b]]).tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-                cols = list(zip(*made))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["bucket", "block", "value", "several"])
+                tally = (np.minimum(127, np.diff(np.append(at, len(key)))) << 1 | several).astype(np.uint8)
+                bucket, short = (key[at] >> np.uint64(32)).astype(np.int64), (key[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                made = [(int(bucket[a]), block, short[a:b].tobytes(), press.compress(tally[a:b].tobytes())) for a, b in zip(edges[:-1], edges[1:])]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["bucket", "block", "value", "tally"])
 
     return run
 
 
-def _shared(pdf):
-    """Of one bucket, the minimizers of several documents, by block."""
-    import pandas as pd
-
-    values = [np.frombuffer(v, np.uint64) for v in pdf["value"]]
-    several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(v)) for s, v in zip(pdf["several"], values)])
-    per = np.array([len(v) for v in values])
-    value = np.concatenate(values)
-    order = np.argsort(value, kind="stable")
-    ranked = value[order]
-    head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    group = np.cumsum(head) - 1
-    shared = (np.bincount(group) > 1) | (np.bincount(group, several[order]) > 0)
-    keep = np.empty(len(value), bool)
-    keep[order] = shared[group]
-    ends = np.cumsum(per)
-    made = [(block, v[keep[e - n : e]].tobytes()) for block, v, e, n in zip(pdf["block"], values, ends, per)]
-    made = [m for m in made if m[1]]
-    return pd.DataFrame({"block": pd.Series([m[0] for m in made], dtype="int64"), "value": pd.Series([m[1] for m in made], dtype="object")})
-
-
-def _candidates(rows: pa.RecordBatch, shared: list[bytes], length: int, buckets: int):
+def _shared(hot: int):
+    """Of one bucket, the minimizers of several documents by block, with the mark of those to split."""
+
+    def run(pdf):
+        import pandas as pd
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor()
+        values = [np.frombuffer(v, np.uint32) for v in pdf["value"]]
+        tally = np.concatenate([np.frombuffer(expand.decompress(t), np.uint8) for t in pdf["tally"]])
+        value = np.concatenate(values)
+        order = np.argsort(value, kind="stable")
+        ranked, counts = value[order], tally[order]
+        at = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        entries = np.diff(np.append(at, len(ranked)))
+        shared = (entries > 1) | (np.add.reduceat(counts & 1, at, dtype=np.int64) > 0)
+        crowded = np.add.reduceat(counts >> 1, at, dtype=np.int64) >= hot
+        keep, split = np.empty(len(value), bool), np.empty(len(value), bool)
+        keep[order], split[order] = np.repeat(shared, entries), np.repeat(crowded, entries)
+        first = np.uint64(pdf["bucket"].iloc[0]) << np.uint64(32)
+        rows, end = [], 0
+        for block, v in zip(pdf["block"], values):
+            own = slice(end, end + len(v))
+            end += len(v)
+            if keep[own].any():
+                rows.append((block, (first | v[keep[own]]).tobytes(), (first | v[keep[own] & split[own]]).tobytes()))
+        return pd.DataFrame({"block": pd.Series([m[0] for m in rows], dtype="int64"), "value": pd.Series([m[1] for m in rows], dtype="object"), "hot": pd.Series([m[2] for m in rows], dtype="object")})
+
+    return run
+
+
+def _among(keys: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    known = np.sort(np.frombuffer(b"".join(blobs), np.uint64))
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) and len(keys) else np.zeros(len(keys), bool)
+
+
+def _candidates(rows: pa.RecordBatch, shared: list[dict], length: int, buckets: int):
     """A block's runs with shared minimizers, the distinct string of each, and the strings in bucket order."""
     flat, offs = byte_buffers(rows.column(rows.num_columns - 1))
     runs = Runs(flat, offs, length)
-    known = np.sort(np.frombuffer(b"".join(shared), np.uint64))
-    if len(known) and len(runs.value):
-        runs.only(known[np.minimum(np.searchsorted(known, runs.value), len(known) - 1)] == runs.value)
-    else:
-        runs.only(np.zeros(len(runs.value), bool))
+    bucket, short = _places(runs.value, buckets)
+    key = bucket.astype(np.uint64) << np.uint64(32) | short
+    keep = _among(key, [s["value"] for s in shared])
+    runs.only(keep)
+    runs.split(_among(key[keep], [s["hot"] for s in shared]), flat, length)
     data = flat.tobytes()
     seen: dict[bytes, int] = {}
     which = np.fromiter((seen.setdefault(data[a : a + n], len(seen)) for a, n in zip(runs.start.tolist(), (runs.count + length - 1).tolist())), np.int64, len(runs.start))
     strings = list(seen)
     value = np.zeros(len(strings), np.uint64)
     value[which] = runs.value
-    bucket = (value % np.uint64(buckets)).astype(np.int64)
+    bucket, _ = _places(value, buckets)
     return flat, offs, runs, which, strings, value, bucket, np.argsort(bucket, kind="stable")
 
 
@@ -289,7 +334,7 @@ def _finish(length: int, buckets: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, hot: int = HOT) -> DataFrame:
     """The ``keep`` columns (default: the id) of every row, n_bytes, spans (removed, [start, stop) bytes) and kept (bytes).
 
     With ``as_text`` kept is a string; what is left of a character that was cut in part goes too.
@@ -297,29 +342,29 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     Removed is each byte covered by a ``length``-byte string that also starts in a document with a
     smaller id; strings are judged on the input and never cross documents.  A null text is empty, a
     text shorter than ``length`` stays whole, rows with one id don't affect each other, rows with a
-    null id neither lose nor cause anything.  An empty table gives no rows.
+    null id neither lose nor cause anything.  An empty table gives no rows.  ``hot`` only says how the
+    work is dealt.
     """
     if length < SEED + 8:
         raise ValueError(f"length must be at least {SEED + 8}")
     keep = [id_col] if keep is None else keep
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    blocks = cut(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "blocks")
+    blocks = bucketed(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "blocks", "block")
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(partitions(spark), -(-total // BUCKET))
-    n = partitions(spark)
-    spread = blocks.select("block", "payload").repartition(n, "block")
-    marks = spread.mapInArrow(_block_rows(length, buckets), "bucket long, block long, value binary, several binary")
-    shared = marks.repartition(n, "bucket").groupBy("bucket").applyInPandas(_shared, "block long, value binary")
-    shared = cut(shared.groupBy("block").agg(F.collect_list("value").alias("shared")), "shared")  # of one block, so bounded by it
-
-    with_shared = blocks.select("block", "payload").join(shared, "block", "left")
+    buckets = max(partitions(spark), -(-total // BUCKET))  # as many tasks: what one reads doesn't grow with the input
+    marks = blocks.select("block", "payload").mapInArrow(_block_rows(length, buckets), "bucket long, block long, value binary, tally binary")
+    shared = marks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared(hot), "block long, value binary, hot binary")
+    shared = cut(shared.groupBy("block").agg(F.collect_list(F.struct("value", "hot")).alias("shared")), "shared")  # of one block, so bounded by it
+
+    with_shared = blocks.select("block", "payload").join(shared.hint("shuffle_hash"), "block", "left")
     sent = with_shared.mapInArrow(_send(length, buckets), "bucket long, block long, strings binary, sizes binary, value binary, owner binary")
-    built = sent.repartition(n, "bucket").groupBy("bucket").applyInPandas(_build(length), "block long, bucket long, least binary")
+    built = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_build(length), "block long, bucket long, least binary")
     built = cut(built.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "built")
 
     fields = whole.schema.fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary")
-    done = blocks.join(shared, "block", "left").join(built, "block", "left").select("payload", "shared", "answers")
+    told = shared.join(built, "block", "left")
+    done = blocks.select("block", "payload").join(told.hint("shuffle_hash"), "block", "left").select("payload", "shared", "answers")
     done = done.mapInArrow(_finish(length, buckets, as_text), schema)
     return done.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")

@@ -26,7 +26,7 @@ from termweave.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN
 from termweave.llm.shingles import mix, ring
 
 BLOCK = 32 << 20  # bytes of text of a block
-SLICE = 4 << 20  # bytes of text cut into units at once, but for a longer text
+SLICE = 1 << 19  # bytes of text cut into units at once, but for a longer text
 KEY = 64  # characters of a unit from which its hash takes its place as a key
 PART = 64  # places of a unit whose substrings are taken from one part of it
 STRIDE = 32  # places from one word of the boundaries to the next; a word holds twice as many

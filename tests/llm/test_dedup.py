@@ -130,7 +130,8 @@ def brute_repeats(docs, n=50):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [1 << 16, 1, 6])
+def test_repeats_equal_brute_force(spark, hot):
     rng = np.random.RandomState(5)
     base = [" ".join(rng.choice(WORDS, 60)) for _ in range(6)]
     docs = []
@@ -143,7 +144,7 @@ def test_repeats_equal_brute_force(spark):
         docs.append((int(rng.permutation(200)[0]), " ".join(parts)))
     docs += [(None, base[0]), (500, None), (501, ""), (502, "é" * 100), (503, "é" * 99 + "x"), (504, "a" * 3000), (505, "a" * 60), (506, "ab" * 1000), (506, "ab" * 1000), (507, base[0][:49])]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, spans string")
-    got = sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"])) for r in remove_repeats(df).collect()), key=repr)
+    got = sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["stop"]) for s in r["spans"]], bytes(r["kept"])) for r in remove_repeats(df, hot=hot).collect()), key=repr)
     assert got == sorted(brute_repeats(docs), key=repr)
     assert remove_repeats(df.limit(0)).count() == 0
 
