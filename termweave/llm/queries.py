@@ -61,12 +61,11 @@ def sentencepiece_best_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf_dir: str, unigram: bool) -> DataFrame:
     from termweave.llm.piece_model import PieceModel
-    from termweave.llm.sentencepiece import decode, encode
+    from termweave.llm.sentencepiece import encode
 
     model = PieceModel.load(tokenizer_file("piece_bpe_32k.model"))
     model = model.as_unigram() if unigram else model
-    coded = encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"])
-    back = decode(coded, model, keep=["doc_id", "text", "n_ids", "ids"])
+    back = encode(table(spark, sf_dir, "documents"), model, keep=["doc_id", "text"], decoded=True)
     return back.select("doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("restored"))
 
 

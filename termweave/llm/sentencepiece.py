@@ -25,7 +25,7 @@ from termweave.llm.common import bucketed, byte_buffers, cut, drop_cut, partitio
 from termweave.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel
 from termweave.llm.shingles import mix, ring
 
-BLOCK = 32 << 20  # bytes of text of a block
+BLOCK = 16 << 20  # bytes of text of a block
 SLICE = 1 << 19  # bytes of text cut into units at once, but for a longer text
 KEY = 64  # characters of a unit from which its hash takes its place as a key
 PART = 64  # places of a unit whose substrings are taken from one part of it
@@ -260,9 +260,48 @@ def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
     return grouped.select("key", codes.alias("codes")).select("key", _as_ids(F.col("codes"), model, beyond).alias("ids"))
 
 
-def _assemble(model: PieceModel, with_text: bool):
+class Decoder:
+    """Texts of ids, on arrays."""
+
+    def __init__(self, model: PieceModel) -> None:
+        self.hidden = np.array([t == CONTROL for _, _, t in model.pieces])
+        as_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
+        self.pool, self.width = np.frombuffer(b"".join(as_bytes), np.uint8), np.array(list(map(len, as_bytes)))
+        self.begin = np.cumsum(self.width) - self.width
+        self.lead = np.array([t == NORMAL and p.startswith(SPACE) for p, _, t in model.pieces]) & model.dummy_prefix
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of rows whose ids are laid end to end; ``ends`` are the n + 1 offsets."""
+        at, size = self.begin[ids], self.width[ids]
+        shown = np.flatnonzero(~self.hidden[ids])
+        if len(shown):  # the blank put before a text goes again
+            first = shown[np.minimum(np.searchsorted(shown, ends[:-1]), len(shown) - 1)]
+            first = np.unique(first[(first >= ends[:-1]) & (first < ends[1:])])
+            first = first[self.lead[ids[first]]]
+            at[first] += 1
+            size[first] -= 1
+        stop = np.append(0, np.cumsum(size))
+        raw = self.pool[np.repeat(at - stop[:-1], size) + np.arange(stop[-1])].tobytes()
+        edge = stop[ends].tolist()
+        return [raw[x:y].decode("utf-8", "replace") for x, y in zip(edge[:-1], edge[1:])]
+
+
+def _decode(model: PieceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(model)
+        decoder = Decoder(model)
+        for batch in batches:
+            flat, offs = byte_buffers(batch.column(batch.num_columns - 1))
+            texts: list[str] = []
+            for _, _, part, ends in slices(flat, offs):
+                texts += decoder.texts(part.view("<u4"), ends // 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "decoded"])
+
+    return run
+
+
+def _assemble(model: PieceModel, with_text: bool, decoded: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, decoder = Cutter(model), Decoder(model)
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = unpacked(batch.column(0)[k].as_py())
@@ -286,15 +325,18 @@ def _assemble(model: PieceModel, with_text: bool):
                     part = rows.slice(at, count)
                     kept = part.columns if with_text else part.columns[:-1]
                     blobs = [made[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(edge)), pa.array(blobs, pa.binary())], [*rows.schema.names[: len(kept)], "n_ids", "ids"])
+                    made = [pa.array(np.diff(edge)), pa.array(blobs, pa.binary()), *([pa.array(decoder.texts(made, edge), pa.string())] if decoded else [])]
+                    yield pa.RecordBatch.from_arrays([*kept, *made], [*rows.schema.names[: len(kept)], "n_ids", "ids", *(["decoded"] if decoded else [])])
                     at += count
 
     return run
 
 
-def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = None, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """The ``keep`` columns (default: doc_id) of every row, n_ids, and ids (little-endian unsigned 32-bit).
 
+    With ``decoded`` the text decoded from the ids stands beside them, as :func:`decode` gives it.
+
     ``model`` is a model or the path of its file.  The ids are those of the sentencepiece library,
     without begin and end ids.  A null or empty text has none; words of any length go the same way; a
     word of n characters costs some n * n / 32 steps, which only texts of a million characters without
@@ -322,39 +364,10 @@ def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = No
     drop_cut(uses)
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))  # bounded by the block's text
     fields = [f for f in whole.schema.fields[:-1]] + ([whole.schema.fields[-1]] if text_col in keep else [])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_ids long, ids binary"
-    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("payload", "answers").mapInArrow(_assemble(model, text_col in keep), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_ids long, ids binary" + ", decoded string" * decoded
+    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("payload", "answers").mapInArrow(_assemble(model, text_col in keep, decoded), schema)
     names = {c: f"__k{i}" for i, c in enumerate(others)} | {text_col: "__text"}
-    return done.select(*[F.col(names[c]).alias(c) for c in keep], "n_ids", "ids")
-
-
-def _decode(model: PieceModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = np.array([t for _, _, t in model.pieces])
-        as_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
-        pool, width = np.frombuffer(b"".join(as_bytes), np.uint8), np.array(list(map(len, as_bytes)))
-        begin = np.cumsum(width) - width
-        lead = np.array([t == NORMAL and p.startswith(SPACE) for p, _, t in model.pieces]) & model.dummy_prefix
-        for batch in batches:
-            flat, offs = byte_buffers(batch.column(batch.num_columns - 1))
-            texts = []
-            for _, _, part, ends in slices(flat, offs):
-                ids, ends = part.view("<u4"), ends // 4
-                at, size = begin[ids], width[ids]
-                shown = np.flatnonzero(kinds[ids] != CONTROL)
-                first = shown[np.minimum(np.searchsorted(shown, ends[:-1]), max(0, len(shown) - 1))] if len(shown) else shown
-                if len(shown):
-                    first = np.unique(first[(first >= ends[:-1]) & (first < ends[1:])])
-                    first = first[lead[ids[first]]]
-                    at[first] += 1
-                    size[first] -= 1
-                stop = np.append(0, np.cumsum(size))
-                raw = pool[np.repeat(at - stop[:-1], size) + np.arange(stop[-1])].tobytes()
-                edge = stop[ends].tolist()
-                texts += [raw[x:y].decode("utf-8", "replace") for x, y in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "decoded"])
-
-    return run
+    return done.select(*[F.col(names[c]).alias(c) for c in keep], "n_ids", "ids", *(["decoded"] if decoded else []))
 
 
 def decode(rows: DataFrame, model: PieceModel | str, keep: list[str] | None = None, ids_col: str = "ids") -> DataFrame:

@@ -158,6 +158,8 @@ def test_bpe_ids_equal_the_library(spark):
         ids = sp.encode(r["text"] or "")
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_ids"] == len(ids)
         assert r["decoded"] == sp.decode(ids)
+    both = sentencepiece.encode(docs, path, keep=["ids"], decoded=True)
+    assert both.columns == ["ids", "n_ids", "ids", "decoded"] and sorted(r[3] for r in both.collect()) == sorted(r["decoded"] for r in rows)
     assert sentencepiece.encode(docs.limit(0), path).count() == 0
 
 
