@@ -13,7 +13,9 @@ exactly two parts removes the boundary between them.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ SLICE = 1 << 19  # bytes of text cut into units at once, but for a longer text
 KEY = 64  # characters of a unit from which its hash takes its place as a key
 PART = 64  # places of a unit whose substrings are taken from one part of it
 STRIDE = 32  # places from one word of the boundaries to the next; a word holds twice as many
+SAMPLE, COMMON = 8, 1 << 17  # blocks looked at for common units, and how many of these are told to all tasks
 UNKNOWN_PENALTY = 10.0
 
 
@@ -103,21 +106,65 @@ def unit_key(unit: str) -> str:
     return unit if len(unit) <= KEY else "\0" + hashlib.sha256(unit.encode()).hexdigest()
 
 
-def _units_of(cutter: Cutter, texts: pa.Array) -> list[str]:
-    """The distinct units of a block's texts, in order."""
+def _units_of(cutter: Cutter, texts: pa.Array, common: Known) -> list[str]:
+    """The distinct units of a block's texts that aren't common ones, in order."""
     seen: set[str] = set()
     for _, units, _, _ in cutter.slices(texts):
         seen.update(units)
-    return sorted(seen)
+    return sorted(seen.difference(common.number))
 
 
-def _distinct_units(model: PieceModel):
+@dataclass
+class Known:
+    """Units and their ids, laid end to end."""
+
+    number: dict[str, int]
+    ids: np.ndarray
+    ends: np.ndarray
+
+    def with_more(self, units: list[str], lists: pa.Array) -> Known:
+        """These and the units of one block."""
+        ends = self.ends[-1] + np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)
+        number = self.number | dict(zip(units, range(len(self.number), len(self.number) + len(units))))
+        return Known(number, np.append(self.ids, np.asarray(lists.flatten()).astype("<u4")), np.append(self.ends, ends))
+
+
+def _counted_units(model: PieceModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(model)
+        for batch in batches:
+            for blob in batch.column(0):
+                rows = unpacked(blob.as_py())
+                seen: Counter = Counter()
+                for _, units, which, _ in cutter.slices(rows.column(rows.num_columns - 1)):
+                    seen.update(dict(zip(units, np.bincount(which, minlength=len(units)).tolist())))
+                found = [(u, n) for u, n in seen.items() if len(u) <= KEY]
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["key", "n"])
+
+    return run
+
+
+def _common(blocks: DataFrame, model: PieceModel) -> Known:
+    """The most common units of a few blocks with their ids, at most COMMON of KEY characters: each task can hold them.
+
+    They are encoded once, and only other units have to travel; which ones they are changes no result.
+    """
+    some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLE).collect()]
+    counted = blocks.where(F.col("block").isin(some)).select("payload").mapInArrow(_counted_units(model), "key string, n long")
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
+    top = top.select("key", F.lit(None).cast("string").alias("long")).repartition(partitions(blocks.sparkSession), "key")
+    rows = encode_units(top, model).toArrow().combine_chunks()
+    none = Known({}, np.zeros(0, "<u4"), np.zeros(1, np.int64))
+    return none.with_more(rows.column("key").to_pylist(), rows.column("ids").combine_chunks()) if rows.num_rows else none
+
+
+def _distinct_units(model: PieceModel, common: Known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(model)
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = unpacked(blob.as_py())
-                units = _units_of(cutter, rows.column(rows.num_columns - 1))
+                units = _units_of(cutter, rows.column(rows.num_columns - 1), common)
                 for at in range(0, len(units), 50_000):
                     part = units[at : at + 50_000]
                     n = len(part)
@@ -299,28 +346,24 @@ def _decode(model: PieceModel):
     return run
 
 
-def _assemble(model: PieceModel, with_text: bool, decoded: bool):
+def _assemble(model: PieceModel, with_text: bool, decoded: bool, common: Known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, decoder = Cutter(model), Decoder(model)
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = unpacked(batch.column(0)[k].as_py())
                 texts = rows.column(rows.num_columns - 1)
-                number: dict[str, int] = {}
-                ids, ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+                known = common
                 if batch.column(1)[k].is_valid:
                     answer = batch.column(1)[k].values
-                    units = _units_of(cutter, texts)
-                    number = {units[p]: i for i, p in enumerate(answer.field(0).to_pylist())}
-                    lists = answer.field(1)
-                    ids = np.asarray(lists.flatten()).astype("<u4")
-                    ends = np.append(0, np.cumsum(np.asarray(lists.value_lengths()))).astype(np.int64)
+                    units = _units_of(cutter, texts, common)
+                    known = common.with_more([units[p] for p in answer.field(0).to_pylist()], answer.field(1))
                 at = 0
                 for count, units, which, per in cutter.slices(texts):
-                    of = np.array([number[u] for u in units], np.int64)[which]
-                    size = ends[of + 1] - ends[of]
+                    of = np.array([known.number[u] for u in units], np.int64)[which]
+                    size = known.ends[of + 1] - known.ends[of]
                     stop = np.append(0, np.cumsum(size))
-                    made = ids[np.repeat(ends[of] - stop[:-1], size) + np.arange(stop[-1])]
+                    made = known.ids[np.repeat(known.ends[of] - stop[:-1], size) + np.arange(stop[-1])]
                     edge = stop[np.append(0, np.cumsum(per))]
                     part = rows.slice(at, count)
                     kept = part.columns if with_text else part.columns[:-1]
@@ -349,14 +392,14 @@ def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = No
     whole = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("__text"))
     blocks = bucketed(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "texts", "block")
     n = partitions(spark)
-    uses = blocks.select("block", "payload").mapInArrow(_distinct_units(model), "block long, place int, key string, long string")
-    uses = cut(uses, "units")  # read twice
     # Groups come one after another; the default would sort all edges after a few of them.
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    coded = encode_units(uses.select("key", "long").repartition(n, "key").distinct(), model)
     before = spark.conf.get(limit)
     spark.conf.set(limit, "20000")
     try:
+        common = _common(blocks, model)
+        uses = cut(blocks.select("block", "payload").mapInArrow(_distinct_units(model, common), "block long, place int, key string, long string"), "units")  # read twice
+        coded = encode_units(uses.select("key", "long").repartition(n, "key").distinct(), model)
         answers = uses.select("block", "place", "key").repartition(n, "key").join(coded.hint("shuffle_hash"), "key").select("block", "place", "ids")
         answers = cut(answers, "coded")
     finally:
@@ -365,7 +408,7 @@ def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = No
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("answers"))  # bounded by the block's text
     fields = [f for f in whole.schema.fields[:-1]] + ([whole.schema.fields[-1]] if text_col in keep else [])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_ids long, ids binary" + ", decoded string" * decoded
-    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("payload", "answers").mapInArrow(_assemble(model, text_col in keep, decoded), schema)
+    done = blocks.join(answers.hint("shuffle_hash"), "block", "left").select("payload", "answers").mapInArrow(_assemble(model, text_col in keep, decoded, common), schema)
     names = {c: f"__k{i}" for i, c in enumerate(others)} | {text_col: "__text"}
     return done.select(*[F.col(names[c]).alias(c) for c in keep], "n_ids", "ids", *(["decoded"] if decoded else []))
 
