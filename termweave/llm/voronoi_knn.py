@@ -10,6 +10,7 @@ solved locally; the k best of all blocks are then ranked.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,14 @@ def _route(pivots: np.ndarray, cells: np.ndarray, radius: np.ndarray, near: list
             dots = q @ pivots[cells].T
             slack = 1e-6 * (1 + norm * np.sqrt((pivots**2).sum(1)).max())  # more than rounding can take
             best = dots + norm * radius + slack
-            if len(dist) > k:  # one of them may be the query itself
-                sure = np.partition(dots[:, owner] - norm * dist, len(dist) - k - 1, axis=1)[:, len(dist) - k - 1][:, None] - slack
-                row, col = np.nonzero(best >= sure)
-            else:
-                row, col = np.nonzero(np.ones(best.shape, bool))
+            own = np.asarray(batch.column(4))  # so many rows of the query's own id may be among the best
+            need = k - 1 + own
+            least = np.full(len(q), -np.inf)
+            able = need < len(dist)
+            if able.any():
+                sure = -np.sort(norm * dist - dots[:, owner], axis=1)
+                least[able] = sure[able, need[able]] - slack[able, 0]
+            row, col = np.nonzero(best >= least[:, None])
             pick = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(cells[col].astype(np.int32)), batch.column(3).take(pick)], ["query_id", "home", "part", "cell", "q"])
 
@@ -94,12 +98,9 @@ def _solve(k: int):
         out = []
         for i in range(len(who)):
             s = scores[i]
-            other = ids != who[i]
-            if len(s) > 4 * k:  # all that tie with the k + 1st best are kept until the sort
-                floor = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-                at = np.flatnonzero((s >= floor) & other)
-            else:
-                at = np.flatnonzero(other)
+            at = np.flatnonzero(ids != who[i])
+            if len(at) > 4 * k:  # all that tie with the kth best are kept until the sort
+                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
             at = at[np.argsort(-s[at], kind="stable")][:k]
             out.append((np.full(len(at), who[i]), ids[at], s[at]))
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out))})
@@ -112,19 +113,21 @@ def top_k(embeddings: DataFrame, k: int = 5, scale: float = 256.0, query_mod: in
 
     Components become floor(scale * x) in double precision, the score is the integer inner product,
     ties go to the smaller vec_id.  Vectors that are null, empty, or hold null or non-finite
-    components take no part, nor do rows with a null id or vectors whose length isn't the most
-    frequent one.  With fewer than k other rows all are returned; an empty table gives no rows.  Rows
-    repeated under one id are ranked each, but a query isn't ranked against rows of its own id, and
-    is answered once for each of its distinct vectors.
+    components take no part, nor do rows with a null id.  Vectors of different lengths have no inner
+    product: each length is a table of its own.  With fewer than k other rows all are returned; an
+    empty table gives no rows.  Rows repeated under one id are ranked each, but a query isn't ranked
+    against rows of its own id, and is answered once for each length and each of its distinct vectors.
     """
     spark = embeddings.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     good = usable(embeddings, id_col, vec_col)
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
-        return empty
-    good = good.where(F.size("v") == sizes["d"])
-    pivots = np.unique(np.floor(reference_vectors(good, pivot_count(sizes["n"])) * scale), axis=0)
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % query_mod == 0).alias("asks")).where("asks > 0").orderBy("d").collect()
+    parts = [_of_one_length(good.where(F.size("v") == r["d"]), r["n"], k, scale, query_mod) for r in sizes]
+    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _of_one_length(good: DataFrame, count: int, k: int, scale: float, query_mod: int) -> DataFrame:
+    spark = good.sparkSession
+    pivots = np.unique(np.floor(reference_vectors(good, pivot_count(count)) * scale), axis=0)
     data = cut(good.mapInArrow(_assign(pivots, scale), "vec_id long, cell int, far double, norm double, q binary"), "cells")
     small = data.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("r") <= k + 1)
     near = {r["cell"]: r["near"] for r in small.groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near")).collect()}  # k + 1 numbers a pivot
@@ -133,8 +136,10 @@ def top_k(embeddings: DataFrame, k: int = 5, scale: float = 256.0, query_mod: in
 
     # Query groups: the queries of one cell, cut by a hash where there are more than a block of them.
     asks = spark.createDataFrame([(r["cell"], max(1, -(-r["asks"] // BLOCK)), max(1, -(-r["n"] // BLOCK))) for r in cells], "cell int, parts int, blocks int")
-    asked = data.where(F.col("vec_id") % query_mod == 0).dropDuplicates(["vec_id", "q"]).join(F.broadcast(asks), "cell")
-    asked = asked.select("vec_id", F.col("cell").alias("home"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "q")
+    asking = data.where(F.col("vec_id") % query_mod == 0)
+    own = asking.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asking.dropDuplicates(["vec_id", "q"]).join(own, "vec_id").join(F.broadcast(asks), "cell")  # asks: a row for each of 256 pivots at most
+    asked = asked.select("vec_id", F.col("cell").alias("home"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "q", "own")
     routed = asked.mapInArrow(_route(pivots, names, np.array([r["radius"] for r in cells]), [np.array(near[c]) for c in names], k), "query_id long, home int, part int, cell int, q binary")
     # Cells are small in number, so query groups are gathered to about a block each before data follow them.
     total = sum(r["asks"] for r in cells)
@@ -148,10 +153,12 @@ def top_k(embeddings: DataFrame, k: int = 5, scale: float = 256.0, query_mod: in
     grouped = spark.createDataFrame(sorted(group.items()), "home int, g int")
     routed = cut(routed.join(F.broadcast(grouped), "home").select("query_id", "g", "part", "cell", "q"), "routed")
 
-    wanted = routed.select("cell", F.col("g").alias("to_g"), F.col("part").alias("to_part")).distinct()  # only these pairs of data group and query group are built
+    # Only the pairs of data block and query group that are wanted are built; they grow with the queries, so they aren't broadcast.
+    wanted = routed.select("cell", "g", "part").distinct().join(F.broadcast(asks.select("cell", "blocks")), "cell")
+    wanted = wanted.select("cell", "g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = data.join(F.broadcast(asks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     left = routed.join(F.broadcast(asks.select("cell", "blocks")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = placed.join(F.broadcast(wanted), "cell").select(F.col("to_g").alias("g"), F.col("to_part").alias("part"), "cell", "block", "vec_id", "q")
+    right = placed.select("cell", "block", "vec_id", "q").join(wanted, ["cell", "block"]).select("g", "part", "cell", "block", "vec_id", "q")
     keys = ["g", "part", "cell", "block"]
     n = partitions(spark)
     best = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
