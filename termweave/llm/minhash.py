@@ -119,27 +119,28 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     ties = member.join(again, "doc").where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
 
     spread = reps.select("doc", F.explode("bands").alias("bucket"))
-    crowded = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # Sums by bucket are written before rows are joined to them: a join of plain shuffles can be split where a bucket is large.
+    crowded = cut(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
     shared = cut(spread.join(crowded, "bucket").select("bucket", "doc"), "shared")
     sharing = shared.select("doc").distinct()
     sets = cut(texts.join(sharing, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<long>, bins array<int>").dropDuplicates(["doc", "shingles"]), "sets")
     # A shingle that no other of these sets has is in no intersection: what a set can share is bounded by the rest.
     single = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
-    own = single.groupBy("doc").agg(F.count("*").alias("own"))
+    # An id with several texts has no histogram and no count of its own shingles: it is compared with all it meets.
+    kinds = cut(sets.groupBy("doc").agg(F.when(F.count("*") == 1, F.first("bins")).alias("bins")), "kinds")
+    own = single.groupBy("doc").agg(F.count("*").alias("own")).join(kinds.where("bins is not null"), "doc", "left_semi")
     able = reps.join(sharing, "doc").join(own, "doc", "left").select("doc", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")).where(F.col("m") * den >= F.col("n") * num)
     able = cut(able, "able")
-    # An id with several texts has no histogram of its own and is compared whenever its sizes allow it.
-    bins = sets.groupBy("doc").agg(F.when(F.count("*") == 1, F.first("bins")).alias("bins"))
-    left = shared.join(able.groupBy("doc").agg(F.max("n").alias("n"), F.max("m").alias("m")), "doc").join(bins, "doc")
-    crowded = left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = cut(left.join(crowded, "bucket").select("bucket", "doc", "n", "m", "bins", "size"), "buckets")
+    left = cut(shared.join(able.groupBy("doc").agg(F.max("n").alias("n"), F.max("m").alias("m")), "doc").join(kinds, "doc"), "left")
+    again_crowded = cut(left.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    buckets = cut(left.join(again_crowded, "bucket").select("bucket", "doc", "n", "m", "bins", "size"), "buckets")
     meets = buckets.groupBy("doc").agg(F.sum("size").alias("meets"))
     sigs = able.select("doc", "n", "sig")
 
     def possible(n_x, m_x, b_x, n_y, m_y, b_y):
         enough = lambda most: most * den >= (F.col(n_x) + F.col(n_y) - most) * num
         most = F.aggregate(F.zip_with(b_x, b_y, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda a, b: a + b)
-        return enough(F.least(m_x, m_y)) & (F.col(b_x).isNull() | F.col(b_y).isNull() | enough(most))
+        return F.col(b_x).isNull() | F.col(b_y).isNull() | (enough(F.least(m_x, m_y)) & enough(most))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) those whose signatures, then full sets, are similar enough."""
@@ -156,6 +157,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     ranked = buckets.join(meets, "doc")
     centre = F.max_by(F.struct("doc", "n", "m", "bins"), F.struct("meets", -F.col("doc")))
     centres = ranked.groupBy("bucket").agg(centre.alias("c")).select("bucket", F.col("c.doc").alias("centre"), F.col("c.n").alias("n_c"), F.col("c.m").alias("m_c"), F.col("c.bins").alias("b_c"))
+    centres = cut(centres, "centres")
     met = buckets.join(centres, "bucket").where((F.col("doc") != F.col("centre")) & possible("n", "m", "bins", "n_c", "m_c", "b_c"))
     tested = cut(met.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct(), "tested")
     links = cut(confirmed(tested).unionAll(ties), "near")
@@ -166,6 +168,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     placed = cut(placed, "placed")
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    main = cut(main, "main")
     open_ = placed.join(main, "bucket")
     rest = open_.where("component <> main").select("bucket", F.col("doc").alias("x"), F.col("component").alias("of_x"), F.col("n").alias("n_x"), F.col("m").alias("m_x"), F.col("bins").alias("b_x"))
     others = open_.select("bucket", F.col("doc").alias("y"), F.col("component").alias("of_y"), F.col("n").alias("n_y"), F.col("m").alias("m_y"), F.col("bins").alias("b_y"))
@@ -182,5 +185,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
         F.coalesce("root", "doc").alias("component_id"),
         F.coalesce(F.col("doc") == F.coalesce("root", "doc"), F.lit(False)).alias("kept"),
     )
-    drop_cut(shared, able, buckets, sets, tested, links, placed, more)
+    drop_cut(crowded, again_crowded, left, kinds, centres, main, shared, able, buckets, sets, tested, links, placed, more)
     return out
