@@ -160,49 +160,43 @@ def fit(chunks: list[bytes], owner: np.ndarray, labels: np.ndarray, steps: int =
     return net
 
 
-def _sample_chunks(per_doc: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, labels, chunks = [], [], []
-            for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = (text or "").encode()
-                n = 1 + max(0, -(-(len(data) - CHUNK) // STEP))
-                picks = range(n) if n <= per_doc else np.random.RandomState(doc % (1 << 31)).choice(n, per_doc, replace=False)
-                for k in picks:
-                    docs.append(doc)
-                    labels.append(label)
-                    chunks.append(data[int(k) * STEP : int(k) * STEP + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(labels, pa.int32()), pa.array(chunks, pa.binary())], ["doc_id", "label", "chunk"])
+def chunks_of(data: bytes) -> list[bytes]:
+    """All chunks of a text; they overlap and cover it."""
+    return [data[at : at + CHUNK] for at in range(0, max(1, len(data) - CHUNK + STEP), STEP)]
 
-    return run
 
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, chunks_per_row: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteConvNet:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, max_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> ByteConvNet:
     """Fit on at most ``max_rows`` labelled rows whose crc32(id) mod 5 isn't 0, up to half of them of label 0.
 
-    Rows are taken by a hash of the id, chunks of a row at random over the whole text, so the sample
-    is bounded whatever the corpus.  Null ids and labels are left out.
+    Rows are taken by a hash of the id, as long as their texts have at most ``max_bytes`` together (a
+    longer text is passed over), so the sample is bounded whatever the corpus; all chunks of a row
+    taken are used.  Null ids and labels are left out, as are ids with different labels; of an id with
+    several texts one is taken by a hash.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_bucket("doc_id", 5) != 0)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (crc_bucket("doc_id", 5) != 0))
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
     by_hash = [F.xxhash64("doc_id"), "doc_id"]
     bad = known.where("label = 0").orderBy(*by_hash).limit(max_rows // 2)
     good = known.where("label = 1").orderBy(*by_hash).limit(max_rows // 2)
-    picked = bad.unionAll(good)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    rows = (
-        texts.join(F.broadcast(picked), "doc_id")  # max_rows ids
-        .select("doc_id", "label", "t")
-        .mapInArrow(_sample_chunks(chunks_per_row), "doc_id long, label int, chunk binary")
-        .collect()  # max_rows * chunks_per_row * CHUNK bytes at most, but for repeated ids
-    )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["chunk"])))
-    ids = sorted({r["doc_id"] for r in rows})
-    index = {d: i for i, d in enumerate(ids)}
-    y = np.zeros(len(ids))
-    for r in rows:
-        y[index[r["doc_id"]]] = r["label"]
-    return fit([bytes(r["chunk"]) for r in rows], np.array([index[r["doc_id"]] for r in rows], int), y)
+    picked = [(r["doc_id"], r["label"]) for r in bad.unionAll(good).collect()]  # max_rows ids
+    if not picked:
+        return fit([], np.zeros(0, int), np.zeros(0))
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, label int")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("t")).join(F.broadcast(ids), "doc_id")
+    texts = texts.where(F.length("t") <= max_bytes).select("doc_id", "label", F.length("t").alias("size"), F.xxhash64("t").alias("h"), "t")
+    # The sizes first, so that only what is used comes to the driver.
+    sizes = texts.groupBy("doc_id", "label").agg(F.min(F.struct("h", "size")).alias("x")).select("doc_id", "label", "x.h", "x.size", F.xxhash64("doc_id").alias("order")).collect()
+    room, chosen = max_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["order"], r["doc_id"])):
+        if r["size"] <= room:
+            room -= r["size"]
+            chosen.append((r["doc_id"], r["h"]))
+    some = docs.sparkSession.createDataFrame(chosen, "doc_id long, h long")
+    rows = texts.join(F.broadcast(some), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("doc_id", "label", "t").collect()  # max_bytes
+    rows.sort(key=lambda r: r["doc_id"])
+    chunks = [chunks_of(bytes(r["t"])) for r in rows]
+    return fit([c for own in chunks for c in own], np.repeat(np.arange(len(rows)), list(map(len, chunks))), np.array([float(r["label"]) for r in rows]))
 
 
 def _scorer(net: ByteConvNet):
@@ -216,16 +210,15 @@ def _scorer(net: ByteConvNet):
     return run
 
 
-def score(docs: DataFrame, net: ByteConvNet, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of every row and ``score``, the probability of label 1 of the whole text.
+def score(docs: DataFrame, net: ByteConvNet, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns of every row and ``name``, the probability of label 1 of the whole text.
 
     A null text counts as empty; an empty text has the score of padding alone, between 0 and 1.
     """
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", score double"
-    return kept.mapInArrow(_scorer(net), schema)
+    kept = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", score double"
+    return kept.mapInArrow(_scorer(net), schema).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
