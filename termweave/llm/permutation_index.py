@@ -10,6 +10,7 @@ tasks; a block pair returns link counts and a spanning forest of its links, neve
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from termweave.llm.common import cut, drop_cut, partitions
 from termweave.llm.components import connected_components
 from termweave.llm.vectors import blobs, from_blobs, matrix, reference_vectors, usable
 
-PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 128, 64, 4096
+PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 128, 64, 16384
 HEAD, BLOCK, TILE = 8, 4096, 512
 #: Reference vectors of a greater cosine aren't used together, and as many rows a reference vector are looked at.
 APART, TRIED = 0.75, 2
@@ -46,11 +47,11 @@ def spread(rows: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
     return unit[taken]
 
 
-def _heads(pivots: np.ndarray, head: int, least: float):
+def _heads(pivots: np.ndarray, head: int, least: float, before: int = 0):
     """The nearest reference vectors of each vector, as far as a linked vector can have its nearest one there.
 
     The nearest reference vector of a linked vector is at most twice the link angle farther than the own
-    nearest one.  Places of those farther off hold the nearest one again.
+    nearest one.  Places of those farther off hold the nearest one again.  Their numbers start at ``before``.
     """
     reach = 2 * np.arccos(np.clip(least, -1, 1)) + 1e-6
 
@@ -65,7 +66,7 @@ def _heads(pivots: np.ndarray, head: int, least: float):
             order = np.argsort(-near, axis=1, kind="stable")[:, :head].astype(np.int32)
             angle = np.arccos(np.clip(np.take_along_axis(near, order, 1), -1, 1))
             order = np.where(angle <= angle[:, :1] + reach, order, order[:, :1])
-            flat, offs = pa.array(order.ravel()), pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32))
+            flat, offs = pa.array(order.ravel() + np.int32(before)), pa.array(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(offs, flat), blobs(v)], ["rep", "weight", "head", "unit"])
 
     return run
@@ -155,26 +156,29 @@ def embedding_near_duplicates(embeddings: DataFrame, least: float = 0.9, head: i
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors are linked where their cosine in double precision is ``least`` or more.  Null, empty and
-    zero vectors and those holding null or non-finite components have no links, as have vectors whose
-    length isn't the most frequent one.  Equal vectors form one class with a weight, so copies aren't
+    zero vectors and those holding null or non-finite components have no links.  Vectors of different
+    lengths aren't linked: each length has reference vectors and lists of its own.  Equal vectors form one class with a weight, so copies aren't
     compared; a row of the same id counts as another vector.  A row with a null id has no links, a
     null component and kept = false.  An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     ids = embeddings.select(F.col(id_col).cast("long").alias("vec_id"))
     good = usable(embeddings, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if sizes is None:
+    sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # a row for each length
+    if not sizes:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    good = good.where(F.size("v") == sizes["d"])
     classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     # One id may name several vectors; classes then get an id of their own beside it.
     member = good.join(classes, "v").select("vec_id", "rep", "weight", F.xxhash64("v").alias("kind"))
 
-    most = pivot_count(sizes["n"])
-    pivots = spread(reference_vectors(classes.select(F.col("rep").alias("vec_id"), "v"), TRIED * most), most)
-    heads = classes.select("rep", "v", "weight").mapInArrow(_heads(pivots, min(head, len(pivots)), least), "rep long, weight long, head array<int>, unit binary")
-    heads = cut(heads, "heads")
+    parts, before = [], 0
+    for r in sizes:
+        own = classes.where(F.size("v") == r["d"])
+        most = pivot_count(r["n"])
+        pivots = spread(reference_vectors(own.select(F.col("rep").alias("vec_id"), "v"), TRIED * most), most)
+        parts.append(own.select("rep", "v", "weight").mapInArrow(_heads(pivots, min(head, len(pivots)), least, before), "rep long, weight long, head array<int>, unit binary"))
+        before += len(pivots)
+    heads = cut(reduce(DataFrame.unionAll, parts), "heads")
     lists = heads.select(F.explode(F.array_distinct("head")).alias("pivot")).groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row for each pivot
     posted = heads.select(F.explode(F.array_distinct("head")).alias("pivot"), "rep", "weight", "head", "unit").join(F.broadcast(lists), "pivot")
     posted = posted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termweave.llm.column_bwt import collection_bwt, window_minima
 from termweave.llm.components import connected_components
 from termweave.llm.minhash import near_duplicates
-from termweave.llm.permutation_index import embedding_near_duplicates
+from termweave.llm.permutation_index import _heads, embedding_near_duplicates, spread
 from termweave.llm.repeats import remove_repeats
 from termweave.llm.shingles import shingle_sets
 from termweave.llm.voronoi_knn import top_k
@@ -85,6 +85,14 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    rng = np.random.RandomState(2)
+    one = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, one), (2, one + " tail"), (2, " ".join(f"z{i}" for i in rng.permutation(400))), (3, " ".join(f"y{i}" for i in range(50)))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_components(spark):
     rng = np.random.RandomState(1)
     for n, m in ((50, 20), (50, 60), (30, 29)):
@@ -182,6 +190,28 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_several_lengths(spark):
+    rng = np.random.RandomState(5)
+    rows = [(i, rng.randn(8).tolist()) for i in range(40)] + [(100 + i, [1.0, 0.02 * i]) for i in range(5)] + [(200, [3.0]), (201, [-1.0]), (202, [7.0])]
+    df = spark.createDataFrame(rows + [(39, rows[38][1])], "vec_id long, embedding array<double>").withColumn("unit", F.lit(1)).withColumn("rep", F.lit(2))
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_near_duplicates(df).where("vec_id >= 100").collect()}
+    assert got == {(100 + i, 4, 100) for i in range(5)} | {(200, 1, 200), (201, 0, 201), (202, 1, 200)}
+
+
+def test_heads_of_linked_vectors_meet_at_4096_reference_vectors():
+    rng = np.random.RandomState(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    pivots, a = spread(rng.randn(8192, 64), 4096), unit(rng.randn(2000, 64))
+    assert len(pivots) == 4096
+    away = rng.randn(2000, 64)
+    away = unit(away - (away * a).sum(1)[:, None] * a)
+    c = rng.uniform(0.9, 0.905, 2000)[:, None]
+    b = c * a + np.sqrt(1 - c * c) * away
+    batch = lambda v: pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(v.tolist()), pa.array([1] * 2000)], ["rep", "v", "weight"])
+    heads = [next(_heads(pivots, 8, 0.9)(iter([batch(v)]))).column("head").to_pylist() for v in (a, b)]
+    assert np.mean([bool(set(x) & set(y)) for x, y in zip(*heads)]) >= 0.97
+
+
 def test_embedding_recall_on_pairs_at_the_threshold(spark):
     rng = np.random.RandomState(8)
     base = rng.randn(1500, 64)
@@ -229,6 +259,22 @@ def test_top_k_equals_brute_force(spark):
     assert sorted((r["query_id"], r["vec_id"]) for r in top_k(few).collect()) == [(0, 1), (0, 2)]
 
 
+def test_top_k_with_repeated_ids_and_several_lengths(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i, np.round(rng.randn(6), 3).tolist()) for i in range(1, 300)]
+    rows += [(0, [9.0] * 6)] * 4 + [(7, rows[6][1])] * 3 + [(400 + i, np.round(rng.randn(3), 3).tolist()) for i in range(60)] + [(50, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(df, 5, 256.0, 50).collect())
+    q = [(i, np.floor(np.array(v) * 256).astype(np.int64)) for i, v in rows]
+    want = set()
+    for i, v in q:
+        if i % 50 == 0:
+            s = sorted((-int(v @ w), j) for j, w in q if j != i and len(w) == len(v))[:5]
+            want |= {(i, k + 1, j, -x) for k, (x, j) in enumerate(s)}
+    assert got == sorted(want)
+    assert top_k(df.where("vec_id = 0")).count() == 0
+
+
 def test_top_k_with_wide_numbers(spark):
     df = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1e9, 2.0]), (2, [1e9, 3.0])], "vec_id long, embedding array<double>")
     got = [(r["vec_id"], r["score"]) for r in top_k(df, 2, 1.0).orderBy("rank").collect()]
