@@ -377,6 +377,25 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "repeats", "packing"]
 
 
+CLASHES = ("score", "kept", "spans", "n_bytes", "label", "row", "h", "size", "block", "payload", "component_id", "doc", "t", "__text", "bin", "part", "rank", "ids")
+
+
+def test_pipeline_stages_bear_any_columns_and_rows(spark):
+    rows = [(1, "good words here " * 30), (1, "good words here " * 30), (1, "another text of one id " * 20), (2, None), (3, ""), (None, "no id at all"), (4, "x" * 300_000), (5, "good words here " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for i, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.lit(i))
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, SF)
+            assert out.columns == docs.columns, name
+            assert out.where(" or ".join(f"{c} <> {i}" for i, c in enumerate(CLASHES))).count() == 0
+            assert out.count() <= len(rows)
+        assert stage is corpus_pipeline.cut_repeats and corpus_pipeline.pack_sequences(spark, frame, SF).count() >= frame.count()
+    single = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert sorted((r["doc_id"] or -1, len(r["text"] or "")) for r in single.collect()) == sorted([(1, 480), (1, 460), (2, 0), (3, 0), (-1, 12), (4, 300_000)])
+
+
 def test_pipeline_keeps_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (1, "A b c d e f g"), (3, "a b c d e f g")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
