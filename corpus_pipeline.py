@@ -19,29 +19,52 @@ from termweave.llm.repeats import remove_repeats
 QUALITY, SHINGLE, SIMILAR, PASSAGE, WINDOW = 0.3, 5, 80, 50, 2048
 
 
+def _aliased(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """The columns under names no operator uses, these names, and what gives the columns their names back."""
+    names = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.select([F.col(c).alias(n) for c, n in names.items()]), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; all their columns."""
+    """Documents whose quality score reaches the threshold; all their columns, whatever their names.
+
+    Null and empty texts are scored as empty ones; repeated rows are scored each.
+    """
     net = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, net, keep=docs.columns).where(F.col("score") >= QUALITY).select(docs.columns)
+    rows, names, back = _aliased(docs)
+    scored = score(rows, net, text_col=names["text"], keep=rows.columns, name="__score")
+    return scored.where(F.col("__score") >= QUALITY).select(back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest id.  Rows without an id stay."""
+    """One document of each near-duplicate group: the one of smallest id.
+
+    Rows without an id stay.  Of rows with one id and equal texts one stays (that of the least hash of
+    its columns); rows with one id and different texts stay or go together.
+    """
     found = near_duplicates(docs, k=SHINGLE, num=SIMILAR, den=100)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionAll(docs.where("doc_id is null"))
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    rows, names, back = _aliased(docs)
+    id_, text = F.col(names["doc_id"]), F.col(names["text"])
+    stay = rows.where(id_.isNotNull()).join(gone, id_ == F.col("__gone"), "left_anti")
+    whole = F.struct([F.col(n) for n in rows.columns])
+    stay = stay.groupBy(id_, F.sha2(text, 256)).agg(F.min_by(whole, F.xxhash64(whole)).alias("row")).select("row.*")
+    return stay.unionAll(rows.where(id_.isNull())).select(back)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that a document of smaller id has too; n_chars follows the text."""
-    found = remove_repeats(docs, length=PASSAGE, keep=[c for c in docs.columns if c not in ("text", "n_chars")], as_text=True)
-    found = found.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return found.select(docs.columns)
+    """Documents without the passages that a document of smaller id has too; n_chars, if there, follows the text.
+
+    A null text becomes the empty one.
+    """
+    rows, names, back = _aliased(docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    found = remove_repeats(rows, length=PASSAGE, id_col=names["doc_id"], text_col=names["text"], keep=[n for c, n in names.items() if c not in new], as_text=True)
+    return found.select([new[c].alias(c) if c in new else b for c, b in zip(docs.columns, back)])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents placed in sequences."""
+    """Pieces of the documents placed in sequences; a null text is the end id alone."""
     return pack(docs, tokenizer_file("byte_bpe_50k.json"), window=WINDOW)
 
 
