@@ -8,7 +8,7 @@ labelling of all blocks together.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,37 +16,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.html_blocks import APART, ARTICLE, FEATURES, FORM, HIDDEN, HINT_OUT, MAIN, Block, blocks
+from termweave.llm.html_blocks import APART, ARTICLE, FEATURES, FORM, HEADING, HIDDEN, HINT_OUT, MAIN, Block, blocks
 
 #: Where the fit starts from and is drawn to, in the order of FEATURES; with no pages to learn from it stays.
-PRIOR = np.array([-1.0, 3.0, 2.0, -5.0, -5.0, 0.7, 0.3, 0.8, -0.7, -4.0, -6.0, 0.8, -3.0, 0.5])
-ADJACENT, SIBLING = 0.8, 0.6
+PRIOR = np.array([-1.0, 3.0, 2.0, -5.0, -5.0, 0.7, 1.0, 0.8, -0.7, -4.0, -6.0, 0.8, -3.0, 0.5])
+ADJACENT, SIBLING, HEADED, CONTRAST = 0.8, 0.6, 1.2, 0.2
+#: Blocks that differ in one of these are tied by CONTRAST of what they would be.
+PARTS = ARTICLE | MAIN | APART | HINT_OUT | FORM | HIDDEN
 
 
-def weak_label(block: Block) -> int | None:
-    """1 inside an article or main part, 0 inside a part set apart by its element or name, else unknown."""
-    if block.flags & (APART | HINT_OUT | FORM | HIDDEN):
-        return 0
-    return 1 if block.flags & (ARTICLE | MAIN) else None
+def weak_labels(pages: list[list[str]], several: int = 3, words: int = 15) -> list[list[int | None]]:
+    """Labels of the texts of pages that don't look at the markup.
 
+    0 where a text stands on ``several`` pages (a template's), 1 where one of at least ``words`` words
+    stands on one page only (it was written for it), else unknown.
+    """
+    on = Counter(t for page in pages for t in set(page))
+    return [[0 if on[t] >= several else 1 if on[t] == 1 and t.count(" ") + 1 >= words else None for t in page] for page in pages]
+
+
+def fit_costs(x: np.ndarray, y: np.ndarray, hide: float = 0.4, copies: int = 4, pull: float = 0.05, seed: int = 5) -> np.ndarray:
+    """Logistic weights near PRIOR; in copies of the rows the structural features are hidden, so that no single one must tell all.
 
-def fit_costs(x: np.ndarray, y: np.ndarray, hide: float = 0.4, copies: int = 4, pull: float = 0.02, seed: int = 5) -> np.ndarray:
-    """Logistic weights near PRIOR; in copies of the rows the structural features are hidden, so that text counts too."""
+    Labels are given by length and repetition, so the weights of length and sentence end, which they
+    would bias, and the constant stay; the others are fitted, but not below half of their PRIOR.
+    """
     if len(y) == 0:
         return PRIOR.copy()
     rng = np.random.RandomState(seed)
     x, y = np.tile(x, (copies, 1)), np.tile(y, copies)
-    structural = slice(1, 11)
-    x[:, structural] *= (rng.rand(len(x)) >= hide)[:, None]
+    x[:, 1:11] *= (rng.rand(len(x)) >= hide)[:, None]
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    free = np.array([f not in ("bias", "words", "sentence") for f in FEATURES])
     w = PRIOR.copy()
-    for _ in range(15):  # Newton
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(((np.logaddexp(0, z) - y * z) * weight).sum() + pull / 2 * ((w - PRIOR) ** 2).sum())
+
+    for _ in range(20):  # Newton steps, halved while they don't help
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ ((p - y) * weight) + pull * (w - PRIOR)
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
-        w = w - np.linalg.solve(hess, grad)
-    # Structure may weigh more than in the prior, never against it.
-    return np.where(np.sign(w) * np.sign(PRIOR) < 0, PRIOR, w)
+        grad = (x.T @ ((p - y) * weight) + pull * (w - PRIOR))[free]
+        hess = ((x * (weight * p * (1 - p))[:, None]).T @ x)[np.ix_(free, free)] + pull * np.eye(free.sum())
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(hess, grad)
+        while np.abs(step).max() > 1e-6 and loss(w - step) > loss(w):
+            step /= 2
+        w = w - step
+    return np.where(w * np.sign(PRIOR) < np.abs(PRIOR) / 2, PRIOR / 2, w)
 
 
 def min_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
@@ -146,36 +163,22 @@ def content(page: list[Block], weights: np.ndarray) -> list[bool]:
         return []
     gain = (np.array([b.features() for b in page]) @ weights).tolist()
     ties: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
+    last: dict[int, int] = {}  # the last block of each parent element
+
+    def tie(i: int, j: int, c: float) -> None:
+        ties.append((i, j, c * CONTRAST if (page[i].flags ^ page[j].flags) & PARTS else c))
+
     for i, b in enumerate(page):
         if i:
-            a = page[i - 1].path
-            shared = 0
-            for p, q in zip(a, b.path):
-                if p != q:
-                    break
-                shared += 1
-            apart = len(a) + len(b.path) - 2 * shared
-            ties.append((i - 1, i, ADJACENT * 2.0 ** -max(0, apart - 2)))
-        parent = b.path[-2] if len(b.path) > 1 else 0
+            heads = page[i - 1].flags & HEADING and not b.flags & HEADING  # a heading belongs to what follows it
+            tie(i - 1, i, HEADED if heads else ADJACENT * 2.0 ** -max(0, page[i - 1].node.apart(b.node) - 2))
+        parent = id(b.node.parent)
         if parent in last:
-            ties.append((last[parent], i, SIBLING))
+            tie(last[parent], i, SIBLING)
         last[parent] = i
     return min_cut(gain, ties)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = [], []
-        for html in batch.column(0).to_pylist():
-            for b in blocks(html or ""):
-                label = weak_label(b)
-                if label is not None:
-                    x.append(b.features())
-                    y.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "y"])
-
-
 def _extract(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,12 +191,18 @@ def _extract(weights: np.ndarray):
     return run
 
 
-def learn(pages: DataFrame, max_pages: int = 300, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Costs fitted on at most ``max_pages`` pages taken by a hash of the id, labelled by their own structure."""
-    some = pages.select(F.col(html_col).cast("string").alias("html"), F.col(id_col).cast("string").alias("i")).where("html is not null")
-    some = some.select("html", F.xxhash64("i").alias("r"), "i").orderBy("r", "i").limit(max_pages)
-    rows = some.select("html").mapInArrow(_features, "x array<double>, y int").collect()
-    return fit_costs(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
+def learn(pages: DataFrame, max_pages: int = 300, max_chars: int = 100_000, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
+    """Costs fitted on at most ``max_pages`` pages of at most ``max_chars`` characters, taken by a hash of the id; see :func:`weak_labels`."""
+    some = pages.select(F.col(html_col).cast("string").alias("html"), F.col(id_col).cast("string").alias("i")).where(f"length(html) <= {max_chars}")
+    some = some.select("html", F.xxhash64("i").alias("r"), "i").orderBy("r", "i", "html").limit(max_pages)
+    seen = [blocks(r["html"]) for r in some.select("html").collect()]
+    x, y = [], []
+    for page, labels in zip(seen, weak_labels([[b.text for b in page] for page in seen])):
+        for b, label in zip(page, labels):
+            if label is not None:
+                x.append(b.features())
+                y.append(label)
+    return fit_costs(np.array(x).reshape(-1, len(FEATURES)), np.array(y))
 
 
 def extract_text(pages: DataFrame, weights: np.ndarray | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

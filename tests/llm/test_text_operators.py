@@ -128,6 +128,38 @@ def test_broken_markup_is_read_to_the_end():
     assert len(blocks("<div>" * 3000 + "x")) == 1
 
 
+def test_article_text_in_odd_markup_stays():
+    def text(html):
+        page = blocks(html)
+        return [b.text for b, keep in zip(page, html_extract.content(page, html_extract.PRIOR)) if keep]
+
+    long = "This sentence was written for this page and has quite a few words in it."
+    assert [b.text for b in blocks("<p>One <button>x<p>Rest of it.")] == ["One x", "Rest of it."]
+    assert [b.text for b in blocks("<p>One <button>x</button> two <svg><title>t</title></svg>three <select><option>a</select>.")] == ["One two three ."]
+    assert [b.text for b in blocks("<p>a <svg>b <p>c <object>d<p>e</object>")] == ["a b", "c"]
+    assert [b.text for b in blocks("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds, R&am<b>p;</b>x &amp<i>;</i>")] == ["If x=2 holds, R&amp;x &;"]
+    assert text(f'<article><h1>Head</h1><p>{long}</p><section class="legal-history"><p>{long}</p></section><p class="side-by-side">{long}</p><blockquote class="share">{long}</blockquote></article>') == ["Head", long, long, long, long]
+    assert text(f'<article><p>{long}</p><div class="share-buttons">Share this on the net.</div><div class="adBox">Buy it.</div><ul class="related-links"><li>More</li></ul><section id="comments"><p>{long}</p></section></article>') == [long]
+    assert text(f"<body><nav><a href=1>Home</a></nav><h1>Head line</h1><p>{long}</p><h2>Part</h2><p>{long}</p><footer>Us</footer>") == ["Head line", long, "Part", long]
+    assert text(f"<body><div><h2>Part</h2><div><p>{long}</p><p>{long}</p></div></div><div id=sidebar><p>Other things.</p></div>") == ["Part", long, long]
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert len(html_extract.content(blocks("<div>x" * n), html_extract.PRIOR)) == n
+        return time.perf_counter() - began
+
+    assert took(20000) < 20 * took(4000) + 1
+
+
+def test_labels_do_not_look_at_markup():
+    pages = [["Home", "About us", f"Page {i} has a text of its own with far more than the fifteen words that it takes to be one."] for i in range(3)]
+    assert html_extract.weak_labels(pages) == [[0, 0, 1]] * 3
+
+
 def test_extraction_of_whole_table(spark):
     import html
     import re
