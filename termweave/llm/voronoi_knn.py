@@ -154,11 +154,11 @@ def _of_one_length(good: DataFrame, count: int, k: int, scale: float, query_mod:
     routed = cut(routed.join(F.broadcast(grouped), "home").select("query_id", "g", "part", "cell", "q"), "routed")
 
     # Only the pairs of data block and query group that are wanted are built; they grow with the queries, so they aren't broadcast.
-    wanted = routed.select("cell", "g", "part").distinct().join(F.broadcast(asks.select("cell", "blocks")), "cell")
-    wanted = wanted.select("cell", "g", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wanted = routed.select("cell", F.col("g").alias("to_g"), F.col("part").alias("to_part")).distinct().join(F.broadcast(asks.select("cell", "blocks")), "cell")
+    wanted = wanted.select("cell", "to_g", "to_part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     placed = data.join(F.broadcast(asks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     left = routed.join(F.broadcast(asks.select("cell", "blocks")), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = placed.select("cell", "block", "vec_id", "q").join(wanted, ["cell", "block"]).select("g", "part", "cell", "block", "vec_id", "q")
+    right = placed.select("cell", "block", "vec_id", "q").join(wanted, ["cell", "block"]).select(F.col("to_g").alias("g"), F.col("to_part").alias("part"), "cell", "block", "vec_id", "q")
     keys = ["g", "part", "cell", "block"]
     n = partitions(spark)
     best = left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInPandas(_solve(k), "query_id long, vec_id long, score long")
