@@ -15,7 +15,7 @@ SCHEMA = "block long, size long, payload binary"
 
 def packed(batch: pa.RecordBatch) -> bytes:
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_batch(batch)
     return sink.getvalue()
 

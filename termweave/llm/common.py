@@ -40,7 +40,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, row content is fixed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/termweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._termweave_path = path
     return out
