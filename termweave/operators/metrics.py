@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 CUTOFFS = (1, 5, 10, 20)
 
 
-def ranking_metrics(predictions: DataFrame, gold: DataFrame, by: list[str] | None = None, cutoffs=CUTOFFS) -> DataFrame:
+def ranking_metrics(predictions: DataFrame, gold: DataFrame, by: list[str] | None = None, cutoffs=CUTOFFS, order: str | None = None) -> DataFrame:
     """Acc@k and MRR of predictions (query_id, rank, prediction) against gold (query_id, gold[, by...]).
 
     The denominator is all gold rows; a query without predictions is a miss; where ``gold`` holds a
-    query twice the last by gold counts.  A cutoff beyond the deepest rank is null.
+    query twice the last row by its column ``order`` counts (without one, that of the greatest gold).
+    A cutoff beyond the deepest rank is null.
     """
     by = by or []
-    truth = gold.groupBy("query_id", *by).agg(F.max("gold").alias("gold"))
+    truth = gold.groupBy("query_id", *by).agg((F.max_by("gold", order) if order else F.max("gold")).alias("gold"))
     hits = truth.join(predictions.select("query_id", "rank", "prediction"), "query_id", "left").groupBy(*by, "query_id").agg(F.min(F.when(F.col("prediction") == F.col("gold"), F.col("rank"))).alias("at"), F.max("rank").alias("deep"))
     measures = [F.round(F.when(F.max("deep") >= k, F.avg(F.when(F.col("at") <= k, 1.0).otherwise(0.0))), 6).alias(f"acc_{k}") for k in cutoffs]
     return hits.groupBy(*by).agg(F.count("*").alias("n_queries"), *measures, F.round(F.avg(F.coalesce(1.0 / F.col("at"), F.lit(0.0))), 6).alias("mrr"))

@@ -195,3 +195,8 @@ def candidate_texts(profiles: DataFrame) -> DataFrame:
 
 
 __all__ = ["alias_length_threshold", "alias_records", "candidate_texts", "concept_profiles", "representatives", "varied"]
+
+
+def profile_languages(dataset: str) -> tuple[list[str], list[str]]:
+    """The languages a dataset's profiles prefer, in order, and those they are limited to (none: no limit)."""
+    return (["ENG", "RUS"], ["ENG"]) if dataset == "en" else (["RUS", "ENG"], [])

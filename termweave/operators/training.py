@@ -112,6 +112,13 @@ def hard_negatives(pairs: DataFrame, candidates: DataFrame, n: int, skip: int =
     return pairs.join(lists, "pair_id", "left").withColumn("hard_negatives", padded).drop("_l")
 
 
+def example_text_keys(examples: DataFrame) -> DataFrame:
+    """examples with text_keys: the distinct non-empty texts of the raw mention (else the mention) and the concept name."""
+    mention = "raw_mention_text" if "raw_mention_text" in examples.columns else "mention_text"
+    texts = F.array(*[F.col(c).cast("string") for c in (mention, "concept_name") if c in examples.columns])
+    return examples.withColumn("text_keys", F.array_distinct(F.filter(texts, lambda t: t.isNotNull() & (t != ""))))
+
+
 def batch_layout(examples: DataFrame, batch_size: int, seed: int = 42, key: str = "CUI", row_id: str = "row_id") -> DataFrame:
     """examples with round and batch: each concept gives one row per round, rounds are cut in batches.
 
@@ -188,3 +195,13 @@ def with_matched_alias(text: Column, alias: Column) -> Column:
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.lower(F.trim(p)))
     blank = F.coalesce(F.trim(alias), F.lit("")) == ""
     return F.when(blank | F.array_contains(parts, F.lower(F.trim(alias))), text).when(F.coalesce(text, F.lit("")) == "", alias).otherwise(F.concat(alias, F.lit("; "), text))
+
+
+def candidate_texts(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """candidates (CUI, entity_type, name, ...) with candidate_text: the profile led by the matched name, or the name where no profile is known.
+
+    ``texts`` holds one (CUI, semantic_type, candidate_text) per concept and type.
+    """
+    known = texts.select(F.col("CUI"), F.col("semantic_type").alias("entity_type"), F.col("candidate_text").alias("_t"))
+    joined = candidates.join(known, ["CUI", "entity_type"], "left")
+    return joined.withColumn("candidate_text", F.when(F.col("_t").isNull(), F.col("name")).otherwise(with_matched_alias(F.col("_t"), F.col("name")))).drop("_t")

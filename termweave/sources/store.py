@@ -20,6 +20,17 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
     return hashlib.sha256(json.dumps([columns, r["n"], str(r["s"]), r["x"]]).encode()).hexdigest()
 
 
+def list_description(vocabulary: DataFrame, queries: DataFrame, query_columns: list[str], **config) -> dict:
+    """What stored candidate lists depend on: the vocabulary, the queries and the settings given."""
+    settings = json.loads(json.dumps(config, sort_keys=True, default=str))
+    return {"vocabulary": fingerprint(vocabulary), "queries": fingerprint(queries, query_columns), "config": settings}
+
+
+def config_key(config: dict) -> str:
+    """sha256 of a configuration, the same for any order of its entries; names what is built from it."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+
+
 class ArtifactStore:
     """load-or-build by name; a stored list that is deep enough serves smaller depths."""
 
