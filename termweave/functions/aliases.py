@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from termweave.functions.text import collapse_ends, collapse_spaces
+from termweave.functions.text import caseless, collapse_ends, collapse_spaces
 
 # The marks of noisy dictionary entries, as patterns.
 NOISE = ("&#x7c;", "@@")
@@ -129,9 +129,9 @@ def quality_penalty(c: Column) -> list[Column]:
 
 
 def representative_order(c: Column) -> Column:
-    """Struct that orders aliases from the best representative; lower case stands for casefold."""
+    """Struct that orders aliases from the best representative."""
     flags = [~has_cyrillic(c), has_mixed_scripts(c)]
-    return F.struct(*[f.cast("int") for f in flags], *quality_penalty(c), is_all_caps(c).cast("int"), is_abbreviation(c).cast("int"), F.length(c), F.lower(c), c)
+    return F.struct(*[f.cast("int") for f in flags], *quality_penalty(c), is_all_caps(c).cast("int"), is_abbreviation(c).cast("int"), F.length(c), caseless(c), c)
 
 
 def similarity(left: str, right: str, words) -> float:

@@ -34,6 +34,11 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
 
 
+def caseless(c: Column | str) -> Column:
+    """Casefold by built-ins: by way of upper case, so that letters that only upper case tells equal (sharp s and ss) are equal."""
+    return F.lower(F.upper(_col(c)))
+
+
 def plain_quotes(c: Column | str) -> Column:
     return F.translate(_col(c), SINGLE_QUOTES + DOUBLE_QUOTES, "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
 
@@ -53,9 +58,9 @@ def normalize_text(c: Column | str, compose: bool = True) -> Column:
 
 
 def alias_key(c: Column | str, compose: bool = True) -> Column:
-    """The form by which aliases are told apart; without ``compose`` lower case stands for NFKC and casefold."""
+    """The form by which aliases are told apart; without ``compose`` :func:`caseless` stands for NFKC and casefold."""
     out = F.coalesce(_col(c), F.lit(""))
-    out = collapse_spaces(plain_quotes(nfkc_casefold(out) if compose else F.lower(out)))
+    out = collapse_spaces(plain_quotes(nfkc_casefold(out) if compose else caseless(out)))
     return F.regexp_replace(out, r"(?U)[.,;:\s]+$", "")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.functions.aliases import GROUP_LIMITS, KINDS, alias_kind, is_abbreviation, quality_penalty, representative_order, sanitize_alias, similarity
-from termweave.functions.text import alias_key, language_code, language_priority, normalize_text
+from termweave.functions.text import alias_key, caseless, language_code, language_priority, normalize_text
 
 SCHEMA = (
     "CUI string, semantic_type string, candidate_text string, representative_name string, representative_name_normalized string, selected_aliases array<string>, "
@@ -53,7 +53,7 @@ def alias_records(vocab: DataFrame, preferred: list[str], allowed: list[str] | N
         *[p.alias(f"penalty{i}") for i, p in enumerate(penalty)],
         language_priority(F.col("language"), preferred).alias("priority"),
         F.length("alias").alias("size"),
-        F.lower("alias").alias("folded"),
+        caseless("alias").alias("folded"),
         representative_order(F.col("alias")).alias("order"),
     )
 
@@ -100,29 +100,15 @@ def varied(aliases: list[dict], limit: int, representative: str, known: dict | N
 
 def _profile(limits: dict[str, int], most: int, threshold: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id", kind="stable")
-        raw = len(pdf)
-        rows = [r for r in pdf.to_dict("records") if r["alias"]]
-        noisy = raw - len(rows)
-        seen: set[str] = set()
-        kept, doubles, long = [], 0, 0
-        for r in rows:
-            if not r["key"]:
-                continue
-            if r["key"] in seen:
-                doubles += 1
-            else:
-                seen.add(r["key"])  # before the length is looked at: a long one hides its equals
-                if r["size"] > threshold:
-                    long += 1
-                else:
-                    kept.append(r)
-        if not kept and rows:
-            first: dict[str, dict] = {}
-            for r in rows:
-                if r["key"]:
-                    first.setdefault(r["key"], r)
-            kept = sorted(first.values(), key=lambda r: (r["priority"], r["language"], r["size"], r["folded"]))[:1]
+        pdf = pdf.sort_values(["item_id", "key"], kind="stable")
+        raw = int(pdf["n"].sum())
+        noisy = int(pdf["n"][pdf["alias"] == ""].sum())
+        rows = [r for r in pdf.to_dict("records") if r["alias"] and r["key"]]  # one row per key
+        doubles = sum(r["n"] - 1 for r in rows)
+        kept = [r for r in rows if r["size"] <= threshold]  # a long one hides its equals
+        long = len(rows) - len(kept)
+        if not kept:
+            kept = sorted(rows, key=lambda r: (r["priority"], r["language"], r["size"], r["folded"]))[:1]
         if not kept:
             return pd.DataFrame(columns=[c.split()[0] for c in SCHEMA.split(", ")])
         top = min((r["priority"], r["language"]) for r in kept)
@@ -182,10 +168,15 @@ def concept_profiles(vocab: DataFrame, preferred: list[str], allowed: list[str]
     """One profile per (CUI, semantic_type); the aliases of one concept meet in one task.
 
     Cleaning and all features are columns; only the sequential choice runs in the grouped function.
-    Equal cleaned aliases of a concept are counted before the shuffle's group is built.
+    Equal keys of a concept become one row (that of the least item_id) and a count before that, with
+    partial sums; the distinct keys of one concept have to fit in a task.
     """
     threshold = int(alias_length_threshold(vocab).first()["threshold"])
     records = alias_records(vocab, preferred, allowed, compose)
+    by = ["CUI", "semantic_type", "key"]
+    row = F.struct(*[c for c in records.columns if c not in by])
+    order = F.struct(F.col("item_id").isNull(), "item_id", "alias", "language")
+    records = records.groupBy(*by, (F.col("alias") == "").alias("_none")).agg(F.min_by(row, order).alias("r"), F.count("*").alias("n")).select(*by, "n", "r.*")
     return records.groupBy("CUI", "semantic_type").applyInPandas(_profile(GROUP_LIMITS if limits is None else limits, most, threshold), SCHEMA)
 
 

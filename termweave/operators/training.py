@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.functions.text import language_code, unit_hash
+from termweave.functions.text import caseless, language_code, unit_hash
+from termweave.operators.ranking import top_k
 
 
 # --- dictionary pseudo-queries -------------------------------------------------------------------
@@ -22,7 +23,7 @@ def vocabulary_subset(vocab: DataFrame, entities: DataFrame, extra: int, seed: i
 def concept_synonyms(vocab: DataFrame) -> DataFrame:
     """(CUI, semantic_type, representative_name, synonyms, num_vocab_synonyms): distinct names of each concept in order, and the shortest."""
     names = vocab.select("CUI", "semantic_type", F.col("concept_name").alias("name")).where("name is not null and name <> ''").distinct()
-    order = F.struct(F.length("name"), F.lower("name"), "name")
+    order = F.struct(F.length("name"), caseless("name"), "name")
     return names.groupBy("CUI", "semantic_type").agg(F.min_by("name", order).alias("representative_name"), F.sort_array(F.collect_list("name")).alias("synonyms")).withColumn("num_vocab_synonyms", F.size("synonyms"))
 
 
@@ -104,8 +105,9 @@ def hard_negatives(pairs: DataFrame, candidates: DataFrame, n: int, skip: int =
     last; with none the array is null.
     """
     usable = pairs.join(candidates.select("pair_id", "rank", F.col("CUI").alias("_c"), "name"), "pair_id")
-    usable = usable.where("_c <> CUI and lower(name) <> lower(mention_text) and lower(name) <> lower(concept_name)")
-    usable = usable.withColumn("_t", F.row_number().over(Window.partitionBy("pair_id", F.lower("name")).orderBy("rank"))).where("_t = 1")
+    usable = usable.where("_c <> CUI and name is not null")
+    usable = usable.withColumn("_key", caseless("name")).where((F.col("_key") != caseless("mention_text")) & (F.col("_key") != caseless("concept_name")))
+    usable = usable.withColumn("_t", F.row_number().over(Window.partitionBy("pair_id", "_key").orderBy("rank"))).where("_t = 1")
     usable = usable.withColumn("_p", F.row_number().over(Window.partitionBy("pair_id").orderBy("rank"))).where((F.col("_p") > skip) & (F.col("_p") <= skip + n))
     lists = usable.groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_p", "name"))), lambda x: x["name"]).alias("_l"))
     padded = F.concat("_l", F.array_repeat(F.element_at("_l", -1), n - F.size("_l")))
@@ -183,18 +185,41 @@ def rerank(candidates: DataFrame, score: Column, k: int, query: list[str]) -> Da
     return scored.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= k)
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def lexical_top_k(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, CUI, text, score): each query's k texts of its type with the highest :func:`lexical_score`.
+
+    queries (query_id, query_text, semantic_type), texts (CUI, semantic_type, text), both without
+    repeats.  Ties go to the smaller concept, then text.  Only texts that share a word with the query
+    are scored; where they are fewer than k, the first texts of the type follow at score 0: those a
+    query lacks lie among the first 2 k.
+    """
+    asked = queries.select("query_id", "semantic_type", _words(F.col("query_text")).alias("w"))
+    asked = asked.select("query_id", "semantic_type", F.size("w").alias("size"), F.explode("w").alias("word"))
+    held = texts.select("semantic_type", "CUI", "text", F.explode(_words(F.col("text"))).alias("word"))
+    found = asked.join(held, ["semantic_type", "word"]).groupBy("query_id", "CUI", "text").agg(F.round(F.count("*") / F.max("size"), 6).alias("score"))
+    best = top_k(found.withColumn("item", F.struct("CUI", "text")), k, ["query_id"], item="item")
+    lack = queries.select("query_id", "semantic_type").join(best.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
+    first = texts.withColumn("at", F.row_number().over(Window.partitionBy("semantic_type").orderBy("CUI", "text"))).where(F.col("at") <= 2 * k)
+    fill = lack.join(first, "semantic_type").select("query_id", F.struct("CUI", "text").alias("item")).join(best.select("query_id", "item"), ["query_id", "item"], "left_anti")
+    both = best.select("query_id", "item", "score").unionByName(fill.withColumn("score", F.lit(0.0)))
+    return top_k(both, k, ["query_id"], item="item").select("query_id", "rank", "item.CUI", "item.text", "score")
+
+
 def lexical_score(left: Column, right: Column) -> Column:
     """Share of the query's words that a text holds: a scorer that needs no model."""
-    a = F.array_distinct(F.regexp_extract_all(F.lower(left), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    b = F.array_distinct(F.regexp_extract_all(F.lower(right), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    a, b = _words(left), _words(right)
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(0.0)
 
 
 def with_matched_alias(text: Column, alias: Column) -> Column:
     """The candidate's text led by the alias that matched, unless it is the text or one of its parts."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: F.lower(F.trim(p)))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda p: caseless(F.trim(p)))
     blank = F.coalesce(F.trim(alias), F.lit("")) == ""
-    return F.when(blank | F.array_contains(parts, F.lower(F.trim(alias))), text).when(F.coalesce(text, F.lit("")) == "", alias).otherwise(F.concat(alias, F.lit("; "), text))
+    return F.when(blank | F.array_contains(parts, caseless(F.trim(alias))), text).when(F.coalesce(text, F.lit("")) == "", alias).otherwise(F.concat(alias, F.lit("; "), text))
 
 
 def candidate_texts(candidates: DataFrame, texts: DataFrame) -> DataFrame:

@@ -152,14 +152,8 @@ def pretrain_queries(spark, sf_dir):
 
 def _candidates(spark, sf_dir):
     """Concepts of a query's type by lexical score."""
-    from pyspark.sql import Window
-
-    texts = _concepts(spark, sf_dir).select(F.col("CUI").alias("c"), F.col("semantic_type").alias("t"), "representative_name")
-    q = training.pretrain_queries(_concepts(spark, sf_dir)).select("query_id", "query_text", "semantic_type")
-    pairs = q.join(texts, q["semantic_type"] == texts["t"])
-    pairs = pairs.withColumn("score", F.round(training.lexical_score(F.col("query_text"), F.col("representative_name")), 6))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "c"))
-    return pairs.withColumn("rank", rank).where("rank <= 20").select("query_id", "rank", F.col("c").alias("CUI"), "score", F.col("representative_name").alias("text"))
+    texts = _concepts(spark, sf_dir).select("CUI", "semantic_type", F.col("representative_name").alias("text"))
+    return training.lexical_top_k(training.pretrain_queries(_concepts(spark, sf_dir)), texts, 20)
 
 
 def _pairs(spark, sf_dir):
@@ -188,12 +182,12 @@ def dense_pairs(spark, sf_dir):
 
 
 def hard_negatives(spark, sf_dir):
-    from pyspark.sql import Window
-
-    names = _vocab(spark, sf_dir).select(F.col("semantic_type").alias("t"), F.col("CUI").alias("c"), F.col("concept_name").alias("name")).distinct()
-    names = names.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy("name", "c"))).where("rank <= 30")
+    """Names of other concepts retrieved by the pair's own name: the mentions of these tables share no word with names."""
+    names = _vocab(spark, sf_dir).select("semantic_type", "CUI", F.col("concept_name").alias("text")).distinct()
     pairs = training.dense_pairs(_mentions(spark, sf_dir), _vocab(spark, sf_dir)).withColumn("pair_id", F.concat_ws("|", "mention_text", "CUI", "entity_type", "concept_name"))
-    lists = pairs.select("pair_id", "entity_type").join(names, F.col("entity_type") == F.col("t")).select("pair_id", "rank", F.col("c").alias("CUI"), "name")
+    asked = pairs.select(F.concat_ws("|", "entity_type", "concept_name").alias("query_id"), F.col("concept_name").alias("query_text"), F.col("entity_type").alias("semantic_type")).distinct()
+    found = training.lexical_top_k(asked, names, 30).withColumnRenamed("text", "name")
+    lists = pairs.select("pair_id", F.concat_ws("|", "entity_type", "concept_name").alias("query_id")).join(found, "query_id").select("pair_id", "rank", "CUI", "name")
     out = training.hard_negatives(pairs, lists, 3, skip=1)
     return out.select("pair_id", F.array_join("hard_negatives", ";").alias("hard_negatives"))
 
@@ -356,9 +350,11 @@ SQL = {
     "pair_hit_rate": f"WITH {PAIRS} SELECT round(avg(has), 6) AS hit_rate FROM (SELECT max(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS has FROM pairs GROUP BY query_id)",
     "size_estimate": f"WITH {PSEUDO}, by_type AS (SELECT semantic_type, sum(n)::BIGINT AS n_queries, count(*) AS n_concepts FROM pseudo GROUP BY semantic_type) SELECT *, (n_queries * (1 + least(20, greatest(0, n_concepts - 1))))::BIGINT AS n_pairs, (n_queries * (1 + least(20, greatest(0, n_concepts - 1))) * 512)::BIGINT AS n_bytes FROM by_type",
     "dense_pairs": f"WITH {DENSE} SELECT * FROM dense",
-    "hard_negatives": f"""WITH {DENSE}, names AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY name, c) AS rank FROM (SELECT DISTINCT semantic_type AS t, CUI AS c, concept_name AS name FROM vocab) QUALIFY rank <= 30),
+    "hard_negatives": f"""WITH {DENSE}, texts AS (SELECT DISTINCT semantic_type AS t, CUI AS c, concept_name AS name, list_distinct(regexp_extract_all(lower(concept_name), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM vocab),
+        asked AS (SELECT DISTINCT entity_type AS et, concept_name AS qn, list_distinct(regexp_extract_all(lower(concept_name), '[\\p{{L}}\\p{{N}}_]+')) AS qw FROM dense),
+        names AS (SELECT et, qn, c, name, row_number() OVER (PARTITION BY et, qn ORDER BY round(CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, w)) / len(qw) ELSE 0.0 END, 6) DESC, c, name) AS rank FROM asked JOIN texts ON et = t QUALIFY rank <= 30),
         pairs AS (SELECT *, mention_text || '|' || CUI || '|' || entity_type || '|' || concept_name AS pair_id FROM dense),
-        usable AS (SELECT pair_id, rank, name FROM pairs JOIN names ON entity_type = t WHERE c <> CUI AND lower(name) <> lower(mention_text) AND lower(name) <> lower(concept_name)
+        usable AS (SELECT pair_id, rank, name FROM pairs JOIN names ON entity_type = et AND concept_name = qn WHERE c <> CUI AND lower(name) <> lower(mention_text) AND lower(name) <> lower(concept_name)
             QUALIFY row_number() OVER (PARTITION BY pair_id, lower(name) ORDER BY rank) = 1),
         placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY rank) AS p FROM usable QUALIFY p > 1 AND p <= 4),
         lists AS (SELECT pair_id, list(name ORDER BY p) AS l FROM placed GROUP BY pair_id)
