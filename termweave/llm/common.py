@@ -7,6 +7,7 @@ written as tables in the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import cache
@@ -84,6 +85,41 @@ def crc_bucket(id_col: str, mod: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod
 
 
+def release() -> None:
+    """Give memory that was freed back to the system: Python workers stay alive for later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run):
+    """An Arrow function over batches that calls :func:`release` after each batch it gives and at its end."""
+
+    def tidy(batches):
+        for out in run(batches):
+            yield out
+            del out
+            release()
+        release()
+
+    return tidy
+
+
+def lean_group(run):
+    """A grouped function that calls :func:`release` when its own arrays are gone."""
+
+    def tidy(pdf):
+        out = run(pdf)
+        release()
+        return out
+
+    return tidy
+
+
 def byte_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string/binary column and its n+1 offsets; nulls are empty."""
     import pyarrow as pa

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.common import byte_buffers, cut, drop_cut, slices
+from termweave.llm.common import byte_buffers, cut, drop_cut, lean, slices
 from termweave.llm.components import connected_components
 from termweave.llm.shingles import mix, shingle_sets
 
@@ -106,7 +106,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     threshold = num / den
     bands = bands_for(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
-    signed = cut(texts.mapInArrow(_signatures(k, bands), "doc long, n long, key binary, sig array<int>, bands array<long>"), "signatures")
+    signed = cut(texts.mapInArrow(lean(_signatures(k, bands)), "doc long, n long, key binary, sig array<int>, bands array<long>"), "signatures")
     known = signed.where("n > 0 and doc is not null")
 
     # Classes of equal sets, each named by its smallest document; the minimum is taken before the shuffle.
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     crowded = cut(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
     shared = cut(spread.join(crowded, "bucket").select("bucket", "doc"), "shared")
     sharing = shared.select("doc").distinct()
-    sets = cut(texts.join(sharing, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles array<long>, bins array<int>").dropDuplicates(["doc", "shingles"]), "sets")
+    sets = cut(texts.join(sharing, "doc", "left_semi").mapInArrow(lean(_sets(k)), "doc long, shingles array<long>, bins array<int>").dropDuplicates(["doc", "shingles"]), "sets")
     # A shingle that no other of these sets has is in no intersection: what a set can share is bounded by the rest.
     single = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
     # An id with several texts has no histogram and no count of its own shingles: it is compared with all it meets.

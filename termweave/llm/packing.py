@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.common import cut
+from termweave.llm.common import cut, lean
 
 END_ID = 1
 
@@ -219,7 +219,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, depth: int =
     unit = -(-window // bins)
     full = window // unit
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, ids binary"
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(_cut_pieces(tokenizer_path, window, unit, with_ids), schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(_cut_pieces(tokenizer_path, window, unit, with_ids)), schema)
     if not with_ids:
         rows = rows.drop("ids")
     rows = cut(rows.withColumn("part", F.spark_partition_id()), "pieces")

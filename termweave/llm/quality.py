@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.common import byte_buffers, crc_bucket, slices
+from termweave.llm.common import byte_buffers, crc_bucket, lean, slices
 
 WIDTH, STRIDE, DIM, FILTERS = 12, 4, 6, 24
 CHUNK, STEP = 512, 448  # chunks overlap by 64 bytes; both are multiples of STRIDE
@@ -203,7 +203,7 @@ def _scorer(net: ByteConvNet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offs = byte_buffers(batch.column(batch.num_columns - 1))
-            parts = [net.scores(*part) for _, _, *part in slices(flat, offs)]
+            parts = [net.scores(*part) for _, _, *part in slices(flat, offs, 1 << 19)]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], score], [*batch.schema.names[:-1], "score"])
 
@@ -218,7 +218,7 @@ def score(docs: DataFrame, net: ByteConvNet, text_col: str = "text", keep: list[
     keep = ["doc_id"] if keep is None else keep
     kept = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]) + ", score double"
-    return kept.mapInArrow(_scorer(net), schema).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
+    return kept.mapInArrow(lean(_scorer(net)), schema).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

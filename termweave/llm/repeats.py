@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
 from termweave.llm.column_bwt import window_minima
-from termweave.llm.common import bucketed, byte_buffers, cut, partitions
+from termweave.llm.common import bucketed, byte_buffers, cut, lean, lean_group, partitions
 from termweave.llm.shingles import mix
 
 SEED = 24  # bytes of a minimizer's substring
@@ -75,7 +75,11 @@ class Runs:
             h[at : at + SLICE] = _minimizers(flat[at : at + SLICE + length - 1], span)
         # Windows may not leave their document.
         doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))[:windows]
-        inside = np.arange(windows) + length <= offs[doc + 1]
+        size = np.diff(offs)
+        inside = np.repeat(size >= length, size)
+        for back in range(1, length):
+            inside[offs[1:][size >= length] - back] = False
+        inside = inside[:windows]
         change = np.ones(windows, bool)
         change[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(change)
@@ -350,21 +354,21 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     keep = [id_col] if keep is None else keep
     spark = docs.sparkSession
     whole = docs.select(F.col(id_col).cast("long").alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    blocks = bucketed(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "blocks", "block")
+    blocks = bucketed(whole.mapInArrow(lean(pack_blocks(BLOCK)), SCHEMA), "blocks", "block")
     total = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = max(partitions(spark), -(-total // BUCKET))  # as many tasks: what one reads doesn't grow with the input
-    marks = blocks.select("block", "payload").mapInArrow(_block_rows(length, buckets), "bucket long, block long, value binary, tally binary")
-    shared = marks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared(hot), "block long, value binary, hot binary")
+    marks = blocks.select("block", "payload").mapInArrow(lean(_block_rows(length, buckets)), "bucket long, block long, value binary, tally binary")
+    shared = marks.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lean_group(_shared(hot)), "block long, value binary, hot binary")
     shared = cut(shared.groupBy("block").agg(F.collect_list(F.struct("value", "hot")).alias("shared")), "shared")  # of one block, so bounded by it
 
     with_shared = blocks.select("block", "payload").join(shared.hint("shuffle_hash"), "block", "left")
-    sent = with_shared.mapInArrow(_send(length, buckets), "bucket long, block long, strings binary, sizes binary, value binary, owner binary")
-    built = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_build(length), "block long, bucket long, least binary")
+    sent = with_shared.mapInArrow(lean(_send(length, buckets)), "bucket long, block long, strings binary, sizes binary, value binary, owner binary")
+    built = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lean_group(_build(length)), "block long, bucket long, least binary")
     built = cut(built.groupBy("block").agg(F.collect_list(F.struct("bucket", "least")).alias("answers")), "built")
 
     fields = whole.schema.fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_bytes long, spans array<struct<start:long,stop:long>>, kept " + ("string" if as_text else "binary")
     told = shared.join(built, "block", "left")
     done = blocks.select("block", "payload").join(told.hint("shuffle_hash"), "block", "left").select("payload", "shared", "answers")
-    done = done.mapInArrow(_finish(length, buckets, as_text), schema)
+    done = done.mapInArrow(lean(_finish(length, buckets, as_text)), schema)
     return done.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept")
