@@ -12,7 +12,8 @@ smallest document, and gets back one smallest document per window, so a passage
 documents hold costs one entry per block.  A minimizer that occurs in one document only can't be part
 of a repeat; those are told apart by 32 bits of their hashes before any text is sent.  A minimizer
 with very many strings (a common phrase in ever new surroundings) is split: its windows are grouped by
-a hash of the whole window instead.
+a hash of the whole window instead.  Strings none of whose windows has the hash of another window are
+left out of the collections: they share nothing, however often their minimizer occurs.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ BLOCK = 4 << 20  # bytes of text of a block, but for a longer document
 BUCKET = 16 << 20  # bytes of text per bucket of minimizers
 COLLECTION = 1 << 18  # symbols built at once, but for the strings of one minimizer
 SLICE = 1 << 19  # windows hashed at once
+LOOK = 1 << 21  # symbols looked at together for equal windows, but for the strings of one minimizer
 HOT = 1 << 16  # runs of one minimizer, as counted block by block, from which it is split
 NOBODY = np.iinfo(np.int64).max
 
@@ -191,8 +193,34 @@ def _among(keys: np.ndarray, blobs: list[bytes]) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) and len(keys) else np.zeros(len(keys), bool)
 
 
+def _distinct(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each string (at ``start`` in ``flat``, of 8 bytes or more) among the distinct ones, and one string of each.
+
+    Strings are told apart by a hash of all their bytes, then compared byte by byte.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.ndarray((len(flat) - 7,), "<u8", np.ascontiguousarray(flat), 0, (1,))
+    steps = [np.minimum(8 * k, size - 8) for k in range(-(-int(size.max()) // 8))]  # the last word of a string ends with it
+    with np.errstate(over="ignore"):
+        h = size.astype(np.uint64)
+        for step in steps:
+            h = (h ^ h >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + words[start + step]
+        h = mix(h)
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    like = first[which]
+    if (size[like] != size).any() or any((words[start[like] + step] != words[start + step]).any() for step in steps):  # two strings with one hash
+        data, seen = flat.tobytes(), {}
+        which = np.array([seen.setdefault(data[a : a + n], len(seen)) for a, n in zip(start.tolist(), size.tolist())])
+        return which, np.unique(which, return_index=True)[1]
+    order = np.argsort(first)  # as they come first in the text: what is sent of neighbours compresses better
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place[which], first[order]
+
+
 def _candidates(rows: pa.RecordBatch, shared: list[dict], length: int, buckets: int):
-    """A block's runs with shared minimizers, the distinct string of each, and the strings in bucket order."""
+    """A block's runs with shared minimizers, the distinct string of each, and start, size, minimizer, bucket and bucket order of these."""
     flat, offs = byte_buffers(rows.column(rows.num_columns - 1))
     runs = Runs(flat, offs, length)
     bucket, short = _places(runs.value, buckets)
@@ -200,14 +228,11 @@ def _candidates(rows: pa.RecordBatch, shared: list[dict], length: int, buckets:
     keep = _among(key, [s["value"] for s in shared])
     runs.only(keep)
     runs.split(_among(key[keep], [s["hot"] for s in shared]), flat, length)
-    data = flat.tobytes()
-    seen: dict[bytes, int] = {}
-    which = np.fromiter((seen.setdefault(data[a : a + n], len(seen)) for a, n in zip(runs.start.tolist(), (runs.count + length - 1).tolist())), np.int64, len(runs.start))
-    strings = list(seen)
-    value = np.zeros(len(strings), np.uint64)
-    value[which] = runs.value
+    size = runs.count + length - 1
+    which, first = _distinct(flat, runs.start, size)
+    value = runs.value[first]
     bucket, _ = _places(value, buckets)
-    return flat, offs, runs, which, strings, value, bucket, np.argsort(bucket, kind="stable")
+    return flat, offs, runs, which, runs.start[first], size[first], value, bucket, np.argsort(bucket, kind="stable")
 
 
 def _send(length: int, buckets: int):
@@ -218,17 +243,17 @@ def _send(length: int, buckets: int):
         for batch in batches:
             for block, blob, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 rows = unpacked(blob.as_py())
-                _, _, runs, which, strings, value, bucket, by = _candidates(rows, shared or [], length, buckets)
-                if not len(strings):
+                flat, _, runs, which, start, size, value, bucket, by = _candidates(rows, shared or [], length, buckets)
+                if not len(start):
                     continue
-                owner = np.full(len(strings), NOBODY)
+                owner = np.full(len(start), NOBODY)
                 np.minimum.at(owner, which, _ids(rows)[runs.doc])
-                size = np.array([len(s) for s in strings], np.int32)
+                data, size = flat.tobytes(), size.astype(np.int32)
                 edges = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by))
                 made = []
                 for a, b in zip(edges[:-1], edges[1:]):
                     own = by[a:b]
-                    text = press.compress(b"".join([strings[i] for i in own]))
+                    text = press.compress(b"".join([data[x : x + n] for x, n in zip(start[own].tolist(), size[own].tolist())]))
                     made.append((int(bucket[own[0]]), block, text, size[own].tobytes(), value[own].tobytes(), press.compress(owner[own].tobytes())))
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], ["bucket", "block", "strings", "sizes", "value", "owner"])
@@ -236,6 +261,39 @@ def _send(length: int, buckets: int):
     return run
 
 
+def _whole(group: np.ndarray, size: np.ndarray, goal: int) -> Iterator[slice]:
+    """Strings ordered by group in parts of about ``goal`` symbols; a group is never cut."""
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    volume = np.cumsum(size)
+    lo = 0
+    while lo < len(group):
+        hi = int(np.searchsorted(volume, (volume[lo - 1] if lo else 0) + goal, "right"))
+        after = int(np.searchsorted(heads, max(hi, lo + 1)))
+        hi = int(heads[after]) if after < len(heads) else len(group)
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _meeting(flat: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Which of the strings laid end to end have a window with the hash of another window: all that share one, and few more."""
+    n = size - length + 1
+    stop = np.cumsum(n)
+    words = np.ndarray((len(flat) - 7,), "<u8", flat, 0, (1,))
+    places = len(flat) - length + 1
+    h = np.zeros(places, np.uint64)
+    with np.errstate(over="ignore"):
+        for step in (*range(0, length - 8, 8), length - 8):
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += words[step : step + places]
+        h = mix(h[np.repeat(np.cumsum(size) - size - stop + n, n) + np.arange(stop[-1])])
+    ranked = np.sort(h)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
+        return np.zeros(len(size), bool)
+    return np.logical_or.reduceat(twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h, stop - n)
+
+
 def _build(length: int):
     """The collections of one bucket; for each block the smallest document of every window it sent."""
 
@@ -244,46 +302,34 @@ def _build(length: int):
         import zstandard
 
         press, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-        seen: dict[bytes, int] = {}
-        which, values, owners, per = [], [], [], []
-        for text, sizes, value, owner in zip(pdf["strings"], pdf["sizes"], pdf["value"], pdf["owner"]):
-            text, at = expand.decompress(text), 0
-            sizes = np.frombuffer(sizes, np.int32).tolist()
-            for n in sizes:
-                which.append(seen.setdefault(text[at : at + n], len(seen)))
-                at += n
-            values.append(np.frombuffer(value, np.uint64))
-            owners.append(np.frombuffer(expand.decompress(owner), np.int64))
-            per.append(len(sizes))
-        which = np.array(which)
-        strings = list(seen)
-        owner = np.full(len(strings), NOBODY)
-        np.minimum.at(owner, which, np.concatenate(owners))
-        value = np.zeros(len(strings), np.uint64)
-        value[which] = np.concatenate(values)
-        size = np.array([len(s) for s in strings])
-        windows = np.zeros(len(strings) + 1, np.int64)
+        data = b"".join([expand.decompress(t) for t in pdf["strings"]])
+        size = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]]).astype(np.int64)
+        per = [len(x) // 4 for x in pdf["sizes"]]
+        start = np.cumsum(size) - size
+        which, first = _distinct(np.frombuffer(data, np.uint8), start, size)
+        owner = np.full(len(first), NOBODY)
+        np.minimum.at(owner, which, np.concatenate([np.frombuffer(expand.decompress(x), np.int64) for x in pdf["owner"]]))
+        value = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["value"]])[first]
+        start, size = start[first], size[first]
+        windows = np.zeros(len(first) + 1, np.int64)
         windows[1:] = np.cumsum(size - length + 1)
         # A string that is alone with its minimizer shares its windows with no other.
         least = np.repeat(owner, size - length + 1)
         _, group, members = np.unique(value, return_inverse=True, return_counts=True)
         order = np.argsort(group, kind="stable")
         order = order[members[group[order]] > 1]
-        # Collections of whole minimizer groups; equal windows never lie in two of them.
-        heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else order
-        volume = np.cumsum(size[order])
-        lo = 0
-        while lo < len(order):
-            goal = (volume[lo - 1] if lo else 0) + COLLECTION
-            hi = int(np.searchsorted(volume, goal, "right"))
-            after = int(np.searchsorted(heads, max(hi, lo + 1)))
-            hi = int(heads[after]) if after < len(heads) else len(order)
-            own = order[lo:hi]
-            flat = np.frombuffer(b"".join([strings[i] for i in own]), np.uint8)
-            found = window_minima(flat, size[own], owner[own], length)
+
+        def laid(own: np.ndarray) -> np.ndarray:
+            return np.frombuffer(b"".join([data[a : a + n] for a, n in zip(start[own].tolist(), size[own].tolist())]), np.uint8)
+
+        # Both in parts of whole minimizer groups; equal windows never lie in two of them.
+        parts = [order[part] for part in _whole(group[order], size[order], LOOK)]
+        order = np.concatenate([order[:0], *(own[_meeting(laid(own), size[own], length)] for own in parts)])
+        for part in _whole(group[order], size[order], COLLECTION):
+            own = order[part]
+            found = window_minima(laid(own), size[own], owner[own], length)
             n = size[own] - length + 1
             least[np.repeat(windows[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = found
-            lo = hi
         made, at = [], 0
         for block, n in zip(pdf["block"], per):
             own = which[at : at + n]
@@ -304,23 +350,22 @@ def _finish(length: int, buckets: int, as_text: bool):
         for batch in batches:
             for blob, shared, answers in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 rows = unpacked(blob.as_py())
-                flat, offs, runs, which, strings, _, bucket, by = _candidates(rows, shared or [], length, buckets)
-                hit = np.zeros(len(flat) + 1, np.int32)
-                if len(strings):
+                flat, offs, runs, which, start, size, _, bucket, by = _candidates(rows, shared or [], length, buckets)
+                hit = np.zeros(len(flat) + length, np.int32)  # windows taken from their start on, behind ``length`` places
+                if len(start):
                     answers = sorted(answers, key=lambda a: a["bucket"])
                     least = np.concatenate([np.frombuffer(expand.decompress(a["least"]), np.int64) for a in answers])
-                    size = np.array([len(s) for s in strings])
                     n = size[by] - length + 1
-                    first = np.empty(len(strings), np.int64)
+                    first = np.empty(len(start), np.int64)
                     first[by] = np.cumsum(n) - n
                     local = np.arange(runs.count.sum()) - np.repeat(np.cumsum(runs.count) - runs.count, runs.count)
                     window = np.repeat(runs.start, runs.count) + local
                     source = least[np.repeat(first[which], runs.count) + local]
                     mine = np.repeat(_ids(rows)[runs.doc], runs.count)
                     window = window[(source < mine) & (mine != NOBODY)]
-                    np.add.at(hit, window, 1)
-                    np.add.at(hit, window + length, -1)
-                gone = np.cumsum(hit[:-1]) > 0
+                    hit[window + length] = 1
+                np.cumsum(hit, out=hit)
+                gone = hit[length:] > hit[: len(flat)]
                 data = flat.tobytes()
                 kept, spans = [], []
                 for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):

@@ -157,6 +157,47 @@ def test_repeats_equal_brute_force(spark, hot):
     assert remove_repeats(df.limit(0)).count() == 0
 
 
+def test_only_strings_with_equal_windows_are_built(monkeypatch):
+    import pandas as pd
+    import zstandard
+
+    from termweave.llm import repeats
+
+    rng = np.random.RandomState(4)
+    noise = lambda n: bytes(rng.randint(97, 123, n).astype(np.uint8))
+    seed = b"a common phrase of old.."
+    strings = [noise(20) + seed + noise(20) for _ in range(300)]
+    strings += [b"!" + strings[7], strings[9][1:] + b"?", strings[7]]
+    docs = np.array([*range(10, 310), 3, 400, 500])
+    press = zstandard.ZstdCompressor(level=1).compress
+    sizes = np.array(list(map(len, strings)), np.int32)
+    pdf = pd.DataFrame({"bucket": [0], "block": [0], "strings": [press(b"".join(strings))], "sizes": [sizes.tobytes()], "value": [np.full(303, 5, np.uint64).tobytes()], "owner": [press(docs.tobytes())]})
+    built = []
+    monkeypatch.setattr(repeats, "window_minima", lambda flat, size, *more: built.append(len(size)) or window_minima(flat, size, *more))
+    got = np.frombuffer(zstandard.ZstdDecompressor().decompress(repeats._build(50)(pdf)["least"][0]), np.int64)
+    first: dict[bytes, int] = {}
+    windows = [(s[a : a + 50], d) for s, d in zip(strings, docs.tolist()) for a in range(len(s) - 49)]
+    for w, d in windows:
+        first[w] = min(first.get(w, d), d)
+    assert got.tolist() == [first[w] for w, _ in windows]
+    assert sum(built) == 4
+
+
+def test_distinct_strings_by_bytes():
+    from termweave.llm import repeats
+
+    rng = np.random.RandomState(6)
+    flat = rng.randint(0, 2, 3000).astype(np.uint8)
+    start, size = rng.randint(0, 2900, 4000), rng.randint(8, 90, 4000)
+    strings = [flat[a : a + n].tobytes() for a, n in zip(start, size)]
+    for same_hash in (False, True):
+        with pytest.MonkeyPatch.context() as m:
+            if same_hash:
+                m.setattr(repeats, "mix", lambda h: h & np.uint64(15))
+            which, first = repeats._distinct(flat, start, size)
+        assert len(first) == len(set(strings)) and [strings[first[k]] for k in which] == strings
+
+
 def test_repeats_as_text_keeps_whole_characters(spark):
     shared = "x" * 10 + "é" * 30
     df = spark.createDataFrame([(1, "è" + shared), (2, "ê" + shared)], "doc_id long, text string")
