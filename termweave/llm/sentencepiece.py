@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.blocks import SCHEMA, pack_blocks, unpacked
-from termweave.llm.common import bucketed, byte_buffers, cut, drop_cut, partitions, slices
+from termweave.llm.common import bucketed, byte_buffers, cut, drop_cut, lean, partitions, release, slices
 from termweave.llm.piece_model import BPE, BYTE, CONTROL, NORMAL, SPACE, UNKNOWN, PieceModel
 from termweave.llm.shingles import mix, ring
 
@@ -122,11 +122,15 @@ class Known:
     ids: np.ndarray
     ends: np.ndarray
 
-    def with_more(self, units: list[str], lists: pa.Array) -> Known:
-        """These and the units of one block."""
+    def numbers(self, units: list[str], others: dict[str, int]) -> np.ndarray:
+        """The number of each unit; those not known are counted on from these in ``others``, as they come."""
+        own, n = self.number.get, len(self.number)
+        return np.fromiter((k if (k := own(u)) is not None else others.setdefault(u, n + len(others)) for u in units), np.int32, len(units))
+
+    def laid(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and ends of these and of the units whose ids are given."""
         ends = self.ends[-1] + np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)
-        number = self.number | dict(zip(units, range(len(self.number), len(self.number) + len(units))))
-        return Known(number, np.append(self.ids, np.asarray(lists.flatten()).astype("<u4")), np.append(self.ends, ends))
+        return np.append(self.ids, np.asarray(lists.flatten()).astype("<u4")), np.append(self.ends, ends)
 
 
 def _counted_units(model: PieceModel):
@@ -150,29 +154,33 @@ def _common(blocks: DataFrame, model: PieceModel) -> Known:
     They are encoded once, and only other units have to travel; which ones they are changes no result.
     """
     some = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLE).collect()]
-    counted = blocks.where(F.col("block").isin(some)).select("payload").mapInArrow(_counted_units(model), "key string, n long")
+    counted = blocks.where(F.col("block").isin(some)).select("payload").mapInArrow(lean(_counted_units(model)), "key string, n long")
     top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
     top = top.select("key", F.lit(None).cast("string").alias("long")).repartition(partitions(blocks.sparkSession), "key")
     rows = encode_units(top, model).toArrow().combine_chunks()
     none = Known({}, np.zeros(0, "<u4"), np.zeros(1, np.int64))
-    return none.with_more(rows.column("key").to_pylist(), rows.column("ids").combine_chunks()) if rows.num_rows else none
+    return Known({u: k for k, u in enumerate(rows.column("key").to_pylist())}, *none.laid(rows.column("ids").combine_chunks())) if rows.num_rows else none
 
 
 def _distinct_units(model: PieceModel, common: Known):
+    def of_block(cutter: Cutter, block: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+        rows = unpacked(blob)
+        units = _units_of(cutter, rows.column(rows.num_columns - 1), common)
+        for at in range(0, len(units), 50_000):
+            part = units[at : at + 50_000]
+            n = len(part)
+            place = np.arange(at, at + n, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block)), pa.array(place), pa.array(list(map(unit_key, part)), pa.string()), pa.array([u if len(u) > KEY else None for u in part], pa.string())],
+                ["block", "place", "key", "long"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(model)
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = unpacked(blob.as_py())
-                units = _units_of(cutter, rows.column(rows.num_columns - 1), common)
-                for at in range(0, len(units), 50_000):
-                    part = units[at : at + 50_000]
-                    n = len(part)
-                    place = np.arange(at, at + n, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, block)), pa.array(place), pa.array(list(map(unit_key, part)), pa.string()), pa.array([u if len(u) > KEY else None for u in part], pa.string())],
-                        ["block", "place", "key", "long"],
-                    )
+                yield from of_block(cutter, block, blob.as_py())
+                release()
 
     return run
 
@@ -347,30 +355,43 @@ def _decode(model: PieceModel):
 
 
 def _assemble(model: PieceModel, with_text: bool, decoded: bool, common: Known):
+    def of_block(cutter: Cutter, decoder: Decoder, blob: bytes, answer: pa.Scalar) -> Iterator[pa.RecordBatch]:
+        rows = unpacked(blob)
+        others: dict[str, int] = {}
+        cuts = []  # of each slice its count of texts, its units' numbers in order, and each text's count of them
+        for count, units, which, per in cutter.slices(rows.column(rows.num_columns - 1)):
+            cuts.append((count, common.numbers(units, others)[which], per.astype(np.int32)))
+        n = len(common.number)
+        ids, ends = common.ids, common.ends
+        moved = np.arange(n + len(others), dtype=np.int32)
+        if others:
+            places, lists = answer.values.field(0), answer.values.field(1)
+            in_order = np.fromiter(map(others.__getitem__, sorted(others)), np.int32, len(others))
+            del others
+            if len(places) != len(in_order):
+                raise ValueError("units of a block have no ids")
+            moved[in_order[np.asarray(places)]] = np.arange(n, len(moved))
+            ids, ends = common.laid(lists)
+        at = 0
+        for count, of, per in cuts:
+            of = moved[of]
+            size = ends[of + 1] - ends[of]
+            stop = np.append(0, np.cumsum(size))
+            made = ids[np.repeat(ends[of] - stop[:-1], size) + np.arange(stop[-1])]
+            edge = stop[np.append(0, np.cumsum(per))]
+            part = rows.slice(at, count)
+            kept = part.columns if with_text else part.columns[:-1]
+            blobs = [made[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            made = [pa.array(np.diff(edge)), pa.array(blobs, pa.binary()), *([pa.array(decoder.texts(made, edge), pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*kept, *made], [*rows.schema.names[: len(kept)], "n_ids", "ids", *(["decoded"] if decoded else [])])
+            at += count
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, decoder = Cutter(model), Decoder(model)
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = unpacked(batch.column(0)[k].as_py())
-                texts = rows.column(rows.num_columns - 1)
-                known = common
-                if batch.column(1)[k].is_valid:
-                    answer = batch.column(1)[k].values
-                    units = _units_of(cutter, texts, common)
-                    known = common.with_more([units[p] for p in answer.field(0).to_pylist()], answer.field(1))
-                at = 0
-                for count, units, which, per in cutter.slices(texts):
-                    of = np.array([known.number[u] for u in units], np.int64)[which]
-                    size = known.ends[of + 1] - known.ends[of]
-                    stop = np.append(0, np.cumsum(size))
-                    made = known.ids[np.repeat(known.ends[of] - stop[:-1], size) + np.arange(stop[-1])]
-                    edge = stop[np.append(0, np.cumsum(per))]
-                    part = rows.slice(at, count)
-                    kept = part.columns if with_text else part.columns[:-1]
-                    blobs = [made[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                    made = [pa.array(np.diff(edge)), pa.array(blobs, pa.binary()), *([pa.array(decoder.texts(made, edge), pa.string())] if decoded else [])]
-                    yield pa.RecordBatch.from_arrays([*kept, *made], [*rows.schema.names[: len(kept)], "n_ids", "ids", *(["decoded"] if decoded else [])])
-                    at += count
+                yield from of_block(cutter, decoder, batch.column(0)[k].as_py(), batch.column(1)[k])
+                release()
 
     return run
 
@@ -390,7 +411,7 @@ def encode(docs: DataFrame, model: PieceModel | str, keep: list[str] | None = No
     model = PieceModel.load(model) if isinstance(model, str) else model
     others = [c for c in keep if c != text_col]
     whole = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(others)], F.col(text_col).cast("string").alias("__text"))
-    blocks = bucketed(whole.mapInArrow(pack_blocks(BLOCK), SCHEMA), "texts", "block")
+    blocks = bucketed(whole.mapInArrow(lean(pack_blocks(BLOCK)), SCHEMA), "texts", "block")
     n = partitions(spark)
     # Groups come one after another; the default would sort all edges after a few of them.
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"

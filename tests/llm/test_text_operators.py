@@ -242,6 +242,40 @@ def plain_codes(model, unit):
     return [table[p][0] if p in table else model.unknown for p in parts]
 
 
+def test_blocks_are_cut_once_and_their_memory_is_given_back(monkeypatch):
+    import pyarrow as pa
+
+    from termweave.llm.blocks import packed
+
+    model = PieceModel.load(tokenizer_file("piece_bpe_32k.model"))
+    cutter = sentencepiece.Cutter(model)
+    texts = [["a b c", None, "zz the a", ""], ["a", "a a"], ["rare words again " * 50_000, "the b 水"]]
+    ids_of = lambda u: [7 + sum(u.encode())] * (1 + len(u) % 3)
+    units = [[u for _, us, which, _ in cutter.slices(pa.array([t], pa.string())) for u in (us[w] for w in which)] for ts in texts for t in ts]
+    common = [units[0][0], *units[4]]  # all of the second block are common
+    common = list(dict.fromkeys(common))
+    known = sentencepiece.Known({}, np.zeros(0, "<u4"), np.zeros(1, np.int64))
+    known = sentencepiece.Known({u: i for i, u in enumerate(common)}, *known.laid(pa.array(map(ids_of, common), pa.list_(pa.int32()))))
+    blobs = [packed(pa.record_batch([pa.array(t, pa.string())], ["t"])) for t in texts]
+
+    calls = {"cut": 0, "release": 0}
+    cut, give_back = sentencepiece.Cutter.slices, sentencepiece.release
+    monkeypatch.setattr(sentencepiece.Cutter, "slices", lambda *a: calls.update(cut=calls["cut"] + 1) or cut(*a))
+    monkeypatch.setattr(sentencepiece, "release", lambda: calls.update(release=calls["release"] + 1) or give_back())
+    asked = list(sentencepiece._distinct_units(model, known)(iter([pa.record_batch([pa.array([0, 1, 2]), pa.array(blobs)], ["block", "payload"])])))
+    assert calls == {"cut": 3, "release": 3}
+    rows = [r for b in asked for r in b.to_pylist()][::-1]
+    assert not any(r["block"] == 1 or r["key"] in common for r in rows)
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+    answers = pa.array([[{"place": r["place"], "ids": ids_of(r["key"])} for r in rows if r["block"] == k] or None for k in range(3)], kind)
+    calls.update(cut=0, release=0)
+    out = [r for b in sentencepiece._assemble(model, True, False, known)(iter([pa.record_batch([pa.array(blobs), answers], ["payload", "answers"])])) for r in b.to_pylist()]
+    assert calls == {"cut": 3, "release": 3}  # a block was cut twice before
+    assert [r["t"] for r in out] == [t for ts in texts for t in ts]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in out] == [[i for u in us for i in ids_of(u)] for us in units]
+    assert [r["n_ids"] for r in out] == [len(r["ids"]) // 4 for r in out]
+
+
 @pytest.mark.parametrize("kind", [UNIGRAM, BPE])
 def test_lattice_equals_the_plain_encoder(spark, kind):
     rng = np.random.RandomState(4)
