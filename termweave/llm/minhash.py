@@ -24,6 +24,8 @@ from termweave.llm.shingles import mix, shingle_sets
 
 ROWS = 5  # minima per band
 BINS = 128  # of a set's histogram; two sets share at most the sum of the lesser counts
+MOST = np.iinfo(np.int16).max  # of a bin's count; a set beyond it has no histogram
+BITS = 24  # of a hash of an id by which texts are left out before they move
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -84,12 +86,24 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for _, _, *part in slices(*byte_buffers(batch.column(1))) for s in shingle_sets(*part, k)]
-            bins = [np.bincount(s & (BINS - 1), minlength=BINS).astype(np.int32) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int32()))], ["doc", "shingles", "bins"])
+            bins = [np.bincount(s & (BINS - 1), minlength=BINS) for s in sets]
+            bins = [b.astype(np.int16) if b.max() <= MOST else None for b in bins]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(bins, pa.list_(pa.int16()))], ["doc", "shingles", "bins"])
 
     return run
 
 
+def likely(rows: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows whose ``doc`` may be one of ``wanted``, without moving them: all that are, and others of the same hash.
+
+    The bits set are told to all tasks as words of 64, at most 2 ** (bits - 6) of them however many ids are wanted.
+    """
+    spot = F.shiftrightunsigned(F.xxhash64("doc"), 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(63).cast("int"))
+    words = wanted.groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(bit).alias("set"))
+    return rows.join(F.broadcast(words), (F.shiftright(spot, 6) == F.col("word")) & (F.col("set").bitwiseAND(bit) != 0), "left_semi")
+
+
 def _estimated(share: float):
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return same >= share * F.size("sig_a")
@@ -123,10 +137,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, num: int = 85, den: int = 100,
     crowded = cut(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
     shared = cut(spread.join(crowded, "bucket").select("bucket", "doc"), "shared")
     sharing = shared.select("doc").distinct()
-    sets = cut(texts.join(sharing, "doc", "left_semi").mapInArrow(lean(_sets(k)), "doc long, shingles array<long>, bins array<int>").dropDuplicates(["doc", "shingles"]), "sets")
+    # Texts are large and few share a bucket: only those that may do so are joined by a shuffle.
+    sets = cut(likely(texts, shared).join(sharing, "doc", "left_semi").mapInArrow(lean(_sets(k)), "doc long, shingles array<long>, bins array<short>").dropDuplicates(["doc", "shingles"]), "sets")
     # A shingle that no other of these sets has is in no intersection: what a set can share is bounded by the rest.
     single = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1")
-    # An id with several texts has no histogram and no count of its own shingles: it is compared with all it meets.
+    # An id with several texts, or a set without one, has no histogram and no count of its own shingles: it is compared with all it meets.
     kinds = cut(sets.groupBy("doc").agg(F.when(F.count("*") == 1, F.first("bins")).alias("bins")), "kinds")
     own = single.groupBy("doc").agg(F.count("*").alias("own")).join(kinds.where("bins is not null"), "doc", "left_semi")
     able = reps.join(sharing, "doc").join(own, "doc", "left").select("doc", "n", "sig", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m")).where(F.col("m") * den >= F.col("n") * num)

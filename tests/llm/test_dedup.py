@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from termweave.llm import minhash
 from termweave.llm.column_bwt import collection_bwt, window_minima
 from termweave.llm.components import connected_components
 from termweave.llm.minhash import near_duplicates
@@ -93,6 +94,31 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
     assert got == {(1, 1), (2, 1), (3, 3)}
 
 
+def test_texts_that_share_no_bucket_are_left_out_before_they_move(spark, monkeypatch):
+    rows = spark.range(-5000, 5000).select(F.col("id").alias("doc"), F.lit("t").alias("t")).unionAll(spark.createDataFrame([(None, "t"), (7, "u")], "doc long, t string"))
+    wanted = spark.createDataFrame([(i,) for i in (-5000, -1, 0, 7, 7, 4999, 9999)], "doc long")
+    found = [(r["doc"], r["t"]) for r in minhash.likely(rows, wanted).collect()]
+    assert {(-5000, "t"), (-1, "t"), (0, "t"), (7, "t"), (7, "u"), (4999, "t")} <= set(found) and len(found) < 12
+    full = minhash.likely(rows, rows.where("doc is not null"), bits=6).collect()  # every bit is set
+    assert len([r for r in full if r["doc"] is not None]) == 10_001
+    assert minhash.likely(rows, wanted.limit(0)).count() == 0
+
+    asked = []
+    real = minhash.likely
+    monkeypatch.setattr(minhash, "likely", lambda rows, wanted: asked.append(real(rows, wanted).count()) or real(rows, wanted))
+    docs = [(i, f"only {i} has these words {i * i} and {i + 500} too {i % 7}") for i in range(200)] + [(900, "a copy but for its end " * 9), (901, "a copy but for its end " * 9 + "x")]
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {i: i for i, _ in docs} | {901: 900} and len(asked) == 1 and 2 <= asked[0] < 100
+
+
+def test_histograms_are_short_and_left_out_where_they_do_not_fit(monkeypatch):
+    monkeypatch.setattr(minhash, "MOST", 2)
+    texts = pa.array(["a b c d", " ".join(map(str, range(2000))), "", None])
+    (out,) = minhash._sets(3)(iter([pa.record_batch([pa.array([1, 2, 3, 4]), texts], ["doc", "t"])]))
+    assert out.schema.field("bins").type == pa.list_(pa.int16())
+    assert [b if b is None else sum(b) for b in out.column("bins").to_pylist()] == [2, None, 0, 0] and len(out.column("shingles")[1]) == 1998
+
+
 def test_components(spark):
     rng = np.random.RandomState(1)
     for n, m in ((50, 20), (50, 60), (30, 29)):
