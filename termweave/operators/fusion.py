@@ -14,7 +14,11 @@ def fusion_pool(dense: DataFrame, sparse: DataFrame, missing_dense: DataFrame |
     for name, extra in (("d", missing_dense), ("s", missing_sparse)):
         if extra is not None:
             both = both.join(extra.select("query_id", "item_id", F.col("score").alias("_x")), ["query_id", "item_id"], "left").withColumn(name, F.coalesce(name, "_x")).drop("_x")
-    both = both.fillna(0.0, ["d", "s"])
+    return scaled_pool(both.fillna(0.0, ["d", "s"]))
+
+
+def scaled_pool(both: DataFrame) -> DataFrame:
+    """(query_id, item_id, dense, sparse) of candidates (query_id, item_id, d, s), scaled per query."""
     return both.select("query_id", "item_id", F.round(minmax(F.col("d"), ["query_id"]), 6).alias("dense"), F.round(minmax(F.col("s"), ["query_id"]), 6).alias("sparse"))
 
 
@@ -36,4 +40,4 @@ def best_of_grid(rows: DataFrame, metric: str, others: list[str], order: list[st
     return rows.orderBy(F.desc(metric), *[F.desc(o) for o in others], *order).limit(1)
 
 
-__all__ = ["best_of_grid", "first_per_key", "fuse", "fusion_pool"]
+__all__ = ["best_of_grid", "first_per_key", "fuse", "fusion_pool", "scaled_pool"]
