@@ -118,7 +118,12 @@ def text_window(text: Column, start: Column, stop: Column, left: int, right: int
     def words(part: Column) -> Column:
         return F.regexp_extract_all(part, F.lit(r"(?U)\S+"), F.lit(0))
 
-    before, after = words(F.substring(text, F.lit(1), start)), words(F.substring(text, stop + 1, F.length(text)))
+    def first(part: Column, n: int) -> Column:
+        """The start of a text with its first words: the rest of a long text isn't taken apart."""
+        return F.regexp_extract(part, rf"(?U)^\s*+((?:\S++\s++){{0,{max(0, n - 1)}}}\S++)", 1)
+
+    before = words(F.reverse(first(F.reverse(F.substring(text, F.lit(1), start)), left)))
+    after = words(first(F.substring(text, stop + 1, F.length(text)), right))
     n = F.size(before)
     lead = F.array_join(F.slice(before, F.greatest(F.lit(1), n - left + 1), F.lit(left)), " ") if left else F.lit("")
     tail = F.array_join(F.slice(after, 1, right), " ") if right else F.lit("")

@@ -58,14 +58,14 @@ def contextualize(mentions: DataFrame, documents: DataFrame | None, mode: str, l
         out = out.join(nested, ["document_id", "spans"], "left")
     else:
         out = out.withColumn("_nl", none).withColumn("_nr", none)
+    nested_found = F.col("_nl").isNotNull() | F.col("_nr").isNotNull()
     if mode != "nested_entities":
         out = out.join(documents.select("document_id", "document_text"), "document_id", "left")
         window = text_window(F.coalesce("document_text", F.lit("")), F.col("start"), F.col("stop"), left, right)
         asked = F.lit(True) if mode == "text_window" else is_symbolic(F.col("text"), F.col("entity_type"))
-        out = out.withColumn("_w", F.when(asked, window)).drop("document_text")
+        out = out.withColumn("_w", F.when(~nested_found & asked, window)).drop("document_text")
     else:
         out = out.withColumn("_w", F.lit(None).cast("struct<left:string,right:string>"))
-    nested_found = F.col("_nl").isNotNull() | F.col("_nr").isNotNull()
     source = F.when(nested_found, "nested").when(F.col("_w").isNotNull(), "window").otherwise("none")
     out = out.withColumn("context_source", source)
     out = out.withColumn("left_context_text", F.coalesce(F.when(nested_found, F.col("_nl")).otherwise(F.col("_w.left")), F.lit("")))

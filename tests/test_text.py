@@ -107,3 +107,17 @@ def test_similarity_matches_difflib(spark):
     from difflib import SequenceMatcher
 
     assert got == [0.5 * (1 / 3) + 0.5 * SequenceMatcher(None, "heart attack", "heart failure").ratio(), 1.0, 0.0]
+
+
+def test_window_of_a_long_text(spark):
+    """Only the words next to the span are taken apart; odd blanks, long words and both ends come out as before."""
+    from termweave.functions.text import text_window
+
+    texts = ["a  b\tc d\u00a0e SPAN f  g h\u2003i j ", "SPAN", " one SPAN ", "x" * 3000 + " SPAN " + "y" * 3000, "  SPAN  ", "\U0001d11e1 2 3 4 5 \U0001d11e SPAN \U0001d11e 7"]
+    rows = [(t, t.index("SPAN"), t.index("SPAN") + 4) for t in texts]
+    df = spark.createDataFrame(rows, "text string, start int, stop int")
+    for n in (0, 1, 2, 4):
+        got = [tuple(r[0]) for r in df.select(text_window(F.col("text"), F.col("start"), F.col("stop"), n, n)).collect()]
+        assert got == [(" ".join(t[:a].split()[-n:] if n else []), " ".join(t[b:].split()[:n])) for t, a, b in rows]
+    plan = df.select(text_window(F.col("text"), F.col("start"), F.col("stop"), 4, 4).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all(substring(" not in plan  # not the words of all that is before and after
